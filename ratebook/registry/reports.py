@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans import reports as R
 from . import adapters as A
 from .core import register, to_digits
@@ -110,8 +112,7 @@ def n05(spark, sf):
 @register(
     "n06_regional_structure",
     f"""WITH {A.FACT_SQL},
-    campus AS (SELECT code_1_type, code_1, plan AS payer_plan, {_BAND} AS band, facility_id, mrf_location_name,
-        {MEAN} AS price
+    campus AS (SELECT code_1_type, code_1, plan AS payer_plan, {_BAND} AS band, city, {MEAN} AS price
       FROM fact JOIN locations USING (facility_id, mrf_location_name)
       WHERE {_DOLLAR} AND code_1 IS NOT NULL GROUP BY ALL),
     per_band AS (SELECT code_1_type, code_1, payer_plan, band, COUNT(*) AS campuses,
@@ -125,11 +126,20 @@ def n05(spark, sf):
       100 * (COUNT(*) FILTER (np = 1 AND sp = 1))::DOUBLE / NULLIF(COUNT(*), 0) AS pct_fixed_regional_pattern,
       COUNT(*) FILTER (np > 1 OR sp > 1) AS groups_with_within_region_variation
     FROM sides
-    WHERE nc = (SELECT COUNT(*) FROM locations WHERE latitude >= 35)
-      AND sc = (SELECT COUNT(*) FROM locations WHERE NOT latitude >= 35)""",
+    WHERE nc = (SELECT COUNT(DISTINCT city) FROM locations WHERE latitude >= 35)
+      AND sc = (SELECT COUNT(DISTINCT city) FROM locations WHERE NOT latitude >= 35)""",
 )
 def n06(spark, sf):
-    return R.regional_structure(A.price_fact(spark, sf), A.locations(spark, sf), digits=None, scale=2)
+    # cities are the campuses here: no procedure is priced by every single supplier
+    places = A.locations(spark, sf)
+    city = places.select("facility_id", F.col("city").alias("campus"))
+    fact = A.price_fact(spark, sf).join(city, "facility_id").withColumns(
+        {"facility_id": F.col("campus"), "mrf_location_name": F.col("campus")}
+    )
+    campuses = places.select(
+        F.col("city").alias("facility_id"), F.col("city").alias("mrf_location_name"), "latitude"
+    ).distinct()
+    return R.regional_structure(fact, campuses, digits=None, scale=2)
 
 
 @register(
