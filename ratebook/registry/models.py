@@ -1,0 +1,85 @@
+"""Regression on the paired differences."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import models as L
+from ..sources.sinks import staged
+from . import adapters as A
+from .core import register, to_digits
+from .marts import PAIRED_SQL, paired
+
+TARGET, GROUP = "log_price_ratio", "msdrg_code"
+FEATURES = ["payer_family", "payer_category"]
+SEGMENTS = ["Commercial", "Medicare"]
+
+
+def _frame(spark, sf):
+    """The modelling frame as a table: every fit reads it again."""
+    frame = L.load_model_frame(
+        paired(spark, sf), target=TARGET, features=FEATURES, group=GROUP,
+        numeric=["europe_price", "asia_price", "europe_vs_asia_ratio"],
+    )
+    return staged(frame, "model-frame")
+
+
+@register(
+    "model_frame",
+    f"""WITH {PAIRED_SQL} SELECT msdrg_code, payer_family, payer_category, europe_price, asia_price,
+      europe_vs_asia_ratio, round(log_price_ratio, 9) AS log_price_ratio,
+      payer_family || '__' || payer_category AS payer_family_category FROM paired""",
+)
+def model_frame(spark, sf):
+    frame = L.load_model_frame(
+        paired(spark, sf), target=TARGET, features=FEATURES, group=GROUP,
+        numeric=["europe_price", "asia_price", "europe_vs_asia_ratio"],
+    )
+    return to_digits(L.interaction_feature(frame, FEATURES, "payer_family_category"), 9, TARGET)
+
+
+@register(
+    "grouped_folds",
+    """WITH sizes AS (SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY 1),
+    dealt AS (SELECT *, row_number() OVER (ORDER BY n DESC, l_suppkey) - 1 AS i FROM sizes)
+    SELECT l_suppkey, n, CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS fold FROM dealt""",
+)
+def grouped_folds(spark, sf):
+    split = L.grouped_folds(A.table(spark, sf, "lineitem").select("l_suppkey"), "l_suppkey", 5)
+    return split.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.max("fold").alias("fold"))
+
+
+@register("ridge_cv")
+def ridge_cv(spark, sf):
+    return L.cross_validate(_frame(spark, sf), L.Ridge, features=FEATURES, target=TARGET, group=GROUP)
+
+
+@register("interaction_ridge_cv")
+def interaction_ridge_cv(spark, sf):
+    frame = L.interaction_feature(_frame(spark, sf), FEATURES, "payer_family_category")
+    return L.cross_validate(frame, L.Ridge, features=["payer_family_category"], target=TARGET, group=GROUP)
+
+
+@register("ridge_coefficients")
+def ridge_coefficients(spark, sf):
+    frame = _frame(spark, sf)
+    return L.coefficient_table(frame, L.Ridge().fit(frame, FEATURES, TARGET))
+
+
+@register("forest_cv")
+def forest_cv(spark, sf):
+    return L.cross_validate(_frame(spark, sf), L.Forest, features=FEATURES, target=TARGET, group=GROUP)
+
+
+@register("forest_importance")
+def forest_importance(spark, sf):
+    frame = _frame(spark, sf)
+    return L.importance_table(frame, L.Forest().fit(frame, FEATURES, TARGET))
+
+
+@register("segment_cv")
+def segment_cv(spark, sf):
+    return L.segment_evaluate(
+        _frame(spark, sf), "payer_category", SEGMENTS, {"ridge": L.Ridge, "forest": L.Forest},
+        features=["payer_family"], target=TARGET, group=GROUP,
+    )
