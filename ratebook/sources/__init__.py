@@ -16,6 +16,7 @@ from .preamble_csv import (
     file_metadata,
     scan_csv_records,
     scan_preamble_csv,
+    scan_price_csv,
     split_cells,
 )
 from .sinks import (

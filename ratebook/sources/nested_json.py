@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean_string
 from ..schema import NESTED_PRICE_FILE, NESTED_SERVICE
+from .sinks import staged
 
 SECTION = "standard_charge_information"
 _PIECE_END = "}"
@@ -34,19 +35,26 @@ def _net_depth(text: Column, inside: bool) -> Column:
     return _count(text, "{") + _count(text, "[") - _count(text, "]")
 
 
-def _located_pieces(spark: SparkSession, paths) -> DataFrame:
-    """Pieces with ``depth`` at their start, ``depth_after`` and ``in_string_after`` behind their ``}``."""
+def located_pieces(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Pieces with ``depth`` at their start, ``depth_after`` and ``in_string_after`` behind their ``}``.
+
+    What needs the order of the pieces is worked out per block for either string state at its start and
+    written once; placing the blocks is then a join with one row per block.
+    """
     bare = F.regexp_replace("text", r"(?s)\\.", "")
-    pieces = spark.read.option("lineSep", _PIECE_END).text(paths).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        F.col("value").alias("text"),
-    ).withColumns({
-        "flip": _count(bare, '"') % 2,
-        "net0": _net_depth(bare, False),
-        "net1": _net_depth(bare, True),
-    })
+    pieces = (
+        spark.read.option("lineSep", _PIECE_END)
+        .text(paths)
+        .select(
+            F.col("_metadata.file_path").alias("source_file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"),
+            F.col("value").alias("text"),
+        )
+        .withColumns(
+            {"flip": _count(bare, '"') % 2, "net0": _net_depth(bare, False), "net1": _net_depth(bare, True)}
+        )
+    )
     in_block = W.partitionBy("source_file", "block").orderBy("seq")
     # end{s}: string state behind the piece, step{s}: change of depth, when the block starts in state s
     pieces = pieces.withColumn("flips", F.sum("flip").over(in_block))
@@ -56,6 +64,7 @@ def _located_pieces(spark: SparkSession, paths) -> DataFrame:
         step = F.when(begin == 1, F.col("net1")).otherwise(F.col("net0")) - (1 - end)
         pieces = pieces.withColumns({f"end{s}": end, f"step{s}": step})
         pieces = pieces.withColumn(f"run{s}", F.sum(f"step{s}").over(in_block))
+    pieces = staged(pieces.drop("net0", "net1", "flips"), "json-pieces")
 
     blocks = pieces.groupBy("source_file", "block").agg(
         F.sum("flip").alias("flips"), F.sum("step0").alias("total0"), F.sum("step1").alias("total1")
@@ -100,9 +109,11 @@ def _section_bounds(pieces: DataFrame, section: str) -> DataFrame:
     )
 
 
-def scan_array_elements(spark: SparkSession, paths: str | Sequence[str], section: str = SECTION) -> DataFrame:
+def scan_array_elements(
+    spark: SparkSession, paths: str | Sequence[str], section: str = SECTION, pieces: DataFrame | None = None
+) -> DataFrame:
     """Elements (objects) of a top-level array: ``source_file, service_number`` (from 1), ``element`` text."""
-    pieces = _located_pieces(spark, paths)
+    pieces = located_pieces(spark, paths) if pieces is None else pieces
     at = F.struct("block", "seq")
     marker = f'(?s)^.*"{section}"\\s*:\\s*\\['
     inside = (
@@ -142,9 +153,11 @@ def scan_array_elements(spark: SparkSession, paths: str | Sequence[str], section
     )
 
 
-def explode_services(spark: SparkSession, paths: str | Sequence[str], schema=NESTED_SERVICE) -> DataFrame:
+def explode_services(
+    spark: SparkSession, paths: str | Sequence[str], schema=NESTED_SERVICE, pieces: DataFrame | None = None
+) -> DataFrame:
     """One row per service of nested price files: ``source_file, service_number, service``."""
-    return scan_array_elements(spark, paths).select(
+    return scan_array_elements(spark, paths, pieces=pieces).select(
         "source_file", "service_number", F.from_json("element", schema).alias("service")
     )
 
@@ -160,9 +173,11 @@ def scan_nested_json(spark: SparkSession, paths: str | Sequence[str], schema=NES
 _FILE_LEVEL = T.StructType([f for f in NESTED_PRICE_FILE.fields if f.name != SECTION])
 
 
-def nested_file_metadata(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def nested_file_metadata(
+    spark: SparkSession, paths: str | Sequence[str], pieces: DataFrame | None = None
+) -> DataFrame:
     """One provenance row per nested price file; list-valued fields give their first element."""
-    pieces = _located_pieces(spark, paths)
+    pieces = located_pieces(spark, paths) if pieces is None else pieces
     at = F.struct("block", "seq")
     marker = f'(?s)("{SECTION}"\\s*:\\s*\\[).*$'
     outside = (
