@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.prices import presence_flags, price_representation
 from ..functions.text import pad_id
@@ -34,8 +35,15 @@ SYSTEMS = {"EUROPE": "europe", "ASIA": "asia", "AMERICA": "america"}
 PAIR = {"EUROPE": "europe", "ASIA": "asia"}
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table; its schema is looked up once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _mapped(c: str, mapping: dict[str, str], keep: bool = False) -> Column:
@@ -53,6 +61,10 @@ def _mapped_sql(c: str, mapping: dict[str, str], keep: bool = False) -> str:
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier as location, its nation as city, its region as system."""
+    return _suppliers(spark, sf_dir).drop("s_suppkey")
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
@@ -61,6 +73,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "supplier")
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
+            "s_suppkey",
             F.col("r_name").alias("system_name"),
             pad_id(key.cast("string"), 6).alias("facility_id"),
             F.col("s_name").alias("mrf_location_name"),
@@ -111,7 +124,7 @@ locations AS (
 
 def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price rows without flags: one per order line."""
-    where = locations(spark, sf_dir).select("system_name", "facility_id", "mrf_location_name")
+    where = _suppliers(spark, sf_dir).select("s_suppkey", "system_name", "facility_id", "mrf_location_name")
     who = (
         table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -129,8 +142,7 @@ def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "lineitem")
-        .withColumn("facility_id", pad_id(F.col("l_suppkey").cast("string"), 6))
-        .join(where, "facility_id")
+        .join(where, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(what, F.col("l_partkey") == F.col("p_partkey"))
         .join(who, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(

@@ -14,7 +14,7 @@ from ..functions.text import BLANKS
 
 def read_manifest_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``source_file, line_number, line`` of manifest files (small text files)."""
-    whole = spark.read.option("wholetext", True).text(paths)
+    whole = spark.read.text(paths, wholetext=True)
     return whole.select(
         F.col("_metadata.file_path").alias("source_file"),
         F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_number", "line"),

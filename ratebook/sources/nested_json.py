@@ -229,4 +229,4 @@ def header_array_rows(df: DataFrame, text: str, rename: Mapping[str, str], keep:
 
 
 def scan_header_array_json(spark: SparkSession, paths: str | Sequence[str], rename: Mapping[str, str]) -> DataFrame:
-    return header_array_rows(spark.read.option("wholetext", True).text(paths), "value", rename)
+    return header_array_rows(spark.read.text(paths, wholetext=True), "value", rename)
