@@ -167,6 +167,12 @@ def test_candidates_equal_all_pairs(spark, rows, floors):
     text = plan(got)
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "Python" not in text
 
+    strong = C.top_candidates(
+        left, right, left_id="lid", right_id="rid", block=[("lb", "rb")], weights=weights, floors=floors, min_score=60.0,
+        fields={f: ([f"l_{f}"], [f"r_{f}"]) for f in weights},
+    )
+    assert rows(strong, *cols, "candidate_rank") == rows(want.filter("combined_score >= 60"), *cols, "rank")
+
 
 def test_fallback_blocks(spark, rows):
     left = spark.createDataFrame([("a", "1", "X", "Mercy"), ("b", "9", "X", "Mercy"), ("c", None, "Q", "Rose")],
