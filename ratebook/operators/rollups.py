@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import ACCURACY, quantile
+from ..sources.sinks import staged
 from .joins import null_safe_join
 
 
@@ -58,6 +59,33 @@ def coverage(
     return out
 
 
+def with_coverage(
+    df: DataFrame, keys: Sequence[str], system: str, member: Column, all_systems: int | None = None
+) -> DataFrame:
+    """The columns of :func:`coverage` on the rows themselves, for a table already reduced to one row per member.
+
+    Distinct counts are the highest dense rank in the key's window, so the table is read once and shuffled once;
+    a window holds no more rows than there are members.
+    """
+    group = W.partitionBy(*keys)
+
+    def distinct(value: str) -> Column:
+        return F.max(F.when(F.col(value).isNotNull(), F.col(f"{value}_rank"))).over(group)
+
+    out = df.withColumns({"_system": F.col(system), "_member": member})
+    out = out.withColumns({
+        f"{c}_rank": F.dense_rank().over(group.orderBy(F.col(c).asc_nulls_last())) for c in ("_system", "_member")
+    })
+    out = out.withColumns({
+        "system_count": F.coalesce(distinct("_system"), F.lit(0)).cast("long"),
+        "location_count": F.coalesce(distinct("_member"), F.lit(0)).cast("long"),
+    }).drop("_system", "_member", "_system_rank", "_member_rank")
+    out = out.withColumn("is_cross_system_comparable", F.col("system_count") >= 2)
+    if all_systems is not None:
+        out = out.withColumn("is_all_systems", F.col("system_count") == all_systems)
+    return out
+
+
 def equal_weight_rollup(
     df: DataFrame,
     value: str,
@@ -103,6 +131,7 @@ def exact_quantiles(
     """
     keys = list(keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counted = staged(counted, "value-counts")  # read for the cuts, the totals and the picks
     cuts = counted.groupBy(*keys).agg(
         F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("cuts")
     )

@@ -16,9 +16,8 @@ from ..fixed_values import COMPARABLE_CODE_TYPES, INPATIENT_CODE_TYPE, PAYER_FAM
 from ..functions.aggregates import exact_mean, pct_of_rows, quantile, quantiles
 from ..functions.prices import comparison_setting
 from ..functions.rules import payer_category, payer_family
-from ..operators.joins import join_back
 from ..operators.reshape import complete_pairs, conditional_pivot
-from ..operators.rollups import coverage, equal_weight_rollup
+from ..operators.rollups import equal_weight_rollup, with_coverage
 from .reports import rounded
 
 LOCATION = ["facility_id", "mrf_location_name"]
@@ -83,11 +82,10 @@ def comparable_prices(
     )
     attributes = locations.groupBy(*LOCATION).agg(*[F.min(a).alias(a) for a in LOCATION_ATTRIBUTES])
     member = F.concat("facility_id", F.lit("|"), "mrf_location_name")
-    spread = coverage(grouped, COMPARABLE, "system_name", member, all_systems)
     measures = [c for c in grouped.columns if c not in keys]
     return (
-        grouped.join(attributes, LOCATION, "left")
-        .join(spread, COMPARABLE, "left")
+        with_coverage(grouped, COMPARABLE, "system_name", member, all_systems)
+        .join(attributes, LOCATION, "left")
         .select(
             *keys, *measures, *LOCATION_ATTRIBUTES, "system_count", "location_count",
             "is_cross_system_comparable", F.col("is_all_systems").alias("is_all_three_systems"),
@@ -124,17 +122,15 @@ def msdrg_comparison(
             F.stddev_samp(price).alias("sd_location_price"),
         )
     )
-    matched = join_back(
-        systems,
-        keys,
-        [
-            F.count_distinct("system_name").alias("_systems"),
-            quantile("median_system_price", 0.5).alias("matched_group_median_price"),
-            F.avg("median_system_price").alias("matched_group_mean_price"),
-        ],
-    )
+    # at most one row per system in a window
+    group = W.partitionBy(*keys)
     return (
-        matched.filter(F.col("_systems") == all_systems)
+        systems.withColumns({
+            "_systems": F.count("system_name").over(group),
+            "matched_group_median_price": quantile("median_system_price", 0.5).over(group),
+            "matched_group_mean_price": F.avg("median_system_price").over(group),
+        })
+        .filter(F.col("_systems") == all_systems)
         .drop("_systems")
         .withColumns({
             "price_index": F.try_divide("median_system_price", "matched_group_median_price"),

@@ -109,6 +109,16 @@ def test_equal_weight_rollup_counts_add_up(spark):
     assert out.min_location_price <= out.median_system_price <= out.max_location_price
 
 
+def test_coverage_on_rows_equals_coverage_by_group(spark, rows):
+    data = [("k1", "A", "l1"), ("k1", "A", "l2"), ("k1", "B", "l2"), ("k1", "C", None), ("k2", "A", "l1"), ("k3", None, None)]
+    df = spark.createDataFrame(data, "k string, s string, l string")
+    cols = ["k", "system_count", "location_count", "is_cross_system_comparable", "is_all_systems"]
+    by_group = U.coverage(df, ["k"], "s", F.col("l"), 3)
+    on_rows = U.with_coverage(df, ["k"], "s", F.col("l"), 3)
+    assert rows(on_rows.select(*cols).distinct()) == rows(by_group, *cols)
+    assert on_rows.count() == len(data)
+
+
 def test_checks(spark, rows):
     df = spark.createDataFrame([(1, 1.0), (1, None), (2, float("nan"))], "k int, v double")
     report = Q.validation_report([
