@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.text import (
-    clean_string,
     drop_phrases,
     drop_words,
     normalize_street,

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from ratebook.operators import models as L
-from ratebook.operators.quality import CheckFailed  # noqa: F401
 
 
 @pytest.fixture(scope="module")

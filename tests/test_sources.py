@@ -242,6 +242,13 @@ def test_sinks(spark, tmp_path, rows):
     assert rows(spark.read.parquet(str(tmp_path / "many"))) == rows(df)
     assert S.write_table(df, "t_clustered", cluster_by=["facility_id"], path=str(tmp_path / "t")) == (3, 2)
     spark.sql("drop table t_clustered")
+    assert S.load_dimension(df, "t_dim", strings("facility_id", "v"), path=str(tmp_path / "d")) == (3, 2)
+    assert dict(spark.table("t_dim").dtypes) == {"facility_id": "string", "v": "string"}
+    S.create_view(df.filter("v > 1"), "late_rows")
+    assert spark.sql("select count(*) from late_rows").first()[0] == 2
+    spark.sql("drop table t_dim")
+    S.write_parquet(df, str(tmp_path / "plain"))
+    assert rows(S.read_parquet_many(spark, str(tmp_path / "plain"))) == rows(df)
     S.write_review_csv(df, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
     done = df.filter("v = 3")
