@@ -149,5 +149,10 @@ def compare_assignments(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def add_constants(rows: DataFrame, manifest: DataFrame, key: str = "source_file") -> DataFrame:
-    """Attach per-file constants (facility, location, provenance) to each of its rows, checked one per file."""
-    return left_n_to_1(rows, manifest, [key])
+    """Attach per-file constants (facility, location, provenance) to each of its rows.
+
+    The manifest has one row per file (checked); rows of a file it does not list fail the job.
+    """
+    out = left_n_to_1(rows, manifest.withColumn("_listed", F.lit(True)), [key])
+    unlisted = F.raise_error(F.concat(F.lit("not in the manifest: "), F.col(key))).cast("boolean")
+    return out.filter(F.when(F.col("_listed"), F.lit(True)).otherwise(unlisted)).drop("_listed")

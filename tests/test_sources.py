@@ -139,6 +139,12 @@ def test_uneven_rows_and_repeated_metrics_fail(spark, tmp_path):
     manifest = spark.createDataFrame([(uri(tmp_path / "a.csv"), "1")], "source_file string, facility_id string")
     with pytest.raises(Exception, match="uneven row 1"):
         N.normalize_wide(spark, str(tmp_path), manifest).collect()
+    tall = tmp_path / "tall"
+    tall.mkdir()
+    _price_file(tall / "t.csv", ["description", "standard_charge|negotiated_dollar"], [["d", "5"]])
+    other = spark.createDataFrame([(uri(tall / "other.csv"), "1")], "source_file string, facility_id string")
+    with pytest.raises(Exception, match="not in the manifest"):
+        N.normalize_tall(spark, str(tall), other).count()
     twice = tmp_path / "twice"
     twice.mkdir()
     _price_file(twice / "b.csv", [*WIDE, WIDE[6]], [])
