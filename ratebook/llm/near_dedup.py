@@ -24,7 +24,7 @@ from .textops import LOWER, SPACE, Sequences, U, Words, blocks, bounded_batches,
 from .work import by_batch, keep_ids, staged
 
 SHINGLE, SIMILARITY = 5, (75, 100)
-TOKENS, TREES, BRANCHES, NODE, MAX_DEPTH = 40, 10, 3, 64, 12
+TOKENS, TREES, BRANCHES, NODE, MAX_DEPTH = 40, 10, 3, 256, 4
 #: Equal minwise tokens of 40 that two sets must have to be compared in full; at 0.75 they have 30 on average, and fewer
 #: than 13 once in 10**8.
 SKETCH = 13
@@ -121,7 +121,8 @@ def _leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in one small node that their tokens call similar."""
     rows = pa.Table.from_batches(batches)
     ids, comps = (rows[k].to_numpy() for k in ("id", "comp"))
-    tokens = np.asarray(rows["tokens"].combine_chunks().flatten()).reshape(-1, TOKENS)
+    # the lower bits tell different tokens apart well enough to choose what is confirmed later
+    tokens = np.asarray(rows["tokens"].combine_chunks().flatten()).reshape(-1, TOKENS).astype(np.uint16)
     found = [(np.empty(0, np.int64),) * 2]
     for k in range(len(ids) - 1):
         near = np.flatnonzero(((tokens[k + 1 :] == tokens[k]).sum(1) >= SKETCH) & (comps[k + 1 :] != comps[k])) + k + 1
@@ -137,16 +138,38 @@ def _with_tokens(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _mixed(points: DataFrame) -> DataFrame:
-    """Nodes that hold several components, with their sizes and a pivot each."""
-    pivot = F.min_by("id", F.xxhash64("node", "id"))
+    """Nodes that hold several components: size, largest component (main) and number of members outside it, a pivot."""
+    parts = points.groupBy("node", "comp").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "id"), "id")).alias("p"))
     return (
-        points.groupBy("node")
-        .agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), pivot.alias("pivot"))
-        .filter("c1 <> c2")
-        .drop("c1", "c2")
+        parts.groupBy("node")
+        .agg(
+            F.sum("size").alias("size"),
+            F.max(F.struct("size", "comp")).alias("main"),
+            F.count("*").alias("parts"),
+            F.min("p").alias("p"),
+        )
+        .filter("parts > 1")
+        .select("node", "size", (F.col("size") - F.col("main.size")).alias("others"), F.col("main.comp").alias("main"), "p.id")
+        .withColumnRenamed("id", "pivot")
     )
 
 
+def _groups(points: DataFrame, blocks_of_all: bool) -> DataFrame:
+    """(node, id) of bounded groups in which all pairs of different components of ``points`` (node, id, comp, size,
+    others, main) meet.  Members of a large main component are dealt out over blocks, each of which gets all others;
+    with ``blocks_of_all``, where the others are many too, blocks of all members meet in pairs."""
+    if blocks_of_all:
+        parts = F.ceil(F.col("size") / (NODE // 2)).cast("int")
+        own = F.pmod(F.xxhash64("id"), parts).cast("int")
+        dealt = points.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        node = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+        return dealt.select(node.alias("node"), "id")
+    last = F.when(F.col("size") <= NODE, F.lit(0)).otherwise(F.floor((F.col("size") - F.col("others")) / NODE)).cast("int")
+    own = F.pmod(F.xxhash64("id"), last + 1).cast("int")
+    within = F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), last))
+    return points.select("node", "id", F.explode(within).alias("block")).select(F.xxhash64("node", "block").alias("node"), "id")
+
+
 def _relabel(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after further links between ids of known components."""
     if comp is None:
@@ -196,18 +219,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         comp = _relabel(comp, confirmed(pairs, docs))
         points = staged(_labelled(points, comp), "points")
         nodes = staged(_mixed(points), "nodes")
-        points = points.join(nodes.select("node", "size"), "node")
-        limit = NODE if depth < MAX_DEPTH else 0
-        leaves.append(staged(points.filter(F.col("size") <= NODE).select("node", "id"), "leaves"))
-        if nodes.filter(F.col("size") > NODE).isEmpty():
+        points = points.join(nodes.drop("pivot"), "node")
+        # few members outside the main component, or alike anyway, so that branching would not part them
+        alike = (F.col("others") <= 4 * NODE) & (F.col("others") * 2 <= F.col("size"))
+        few = (F.col("size") <= NODE) | (F.col("others") <= NODE) | alike
+        leaves.append(staged(_groups(points.filter(few), False), "leaves"))
+        if nodes.filter(~few).isEmpty():
             break
-        wide = points.filter(F.col("size") > NODE)
-        if not limit:  # paths this long end in blocks, each compared with each: exact, and no task holds a whole node
-            parts = F.ceil(F.col("size") / (NODE // 2)).cast("int")
-            own = F.pmod(F.xxhash64("id"), parts).cast("int")
-            wide = wide.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            node = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-            leaves.append(staged(wide.select(node.alias("node"), "id"), "leaves"))
+        wide = points.filter(~few)
+        if depth == MAX_DEPTH:
+            leaves.append(staged(_groups(wide, True), "leaves"))
             break
         depth += 1
         later = TOKENS - TREES

@@ -6,6 +6,7 @@ is a block of its own), so memory does not depend on how many rows an Arrow batc
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 BLOCK = 1 << 19
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 U = np.uint64
 
 
@@ -40,6 +42,10 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20)
     """Limit the Arrow batches that Python tasks get, by rows and bytes, so that long texts don't add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    # workers on this machine import the package from where it is; on a cluster it is installed or on PYTHONPATH
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), ROOT])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
