@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .near_dedup import near_duplicates
+from .quality_rules import quality_rules
+from .substring_dedup import substring_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +22,22 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_duplicates(_documents(spark, sf_dir))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir)).drop("failed_rules")
+
+
 QUERIES: dict[str, Query] = {
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
