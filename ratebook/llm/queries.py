@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
 from .substring_dedup import substring_duplicates
+from .token_index import ids_folder, read_ids, write_ids
+
+#: Vocabulary files of public tokenizers (a parameter of the operators; never copied).
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(public_tokenizers.__file__)
+END_ID = 2
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +25,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = _documents(spark, sf_dir), ids_folder(spark)
+    write_ids(docs, folder, os.path.join(TOKENIZERS, "byte_bpe_50k.json"), END_ID)
+    return read_ids(docs, folder, with_ids=False)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -35,6 +48,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_token_index": op2_token_index,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_decontamination": op7_decontamination,
