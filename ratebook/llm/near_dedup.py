@@ -26,8 +26,10 @@ from .work import by_batch, keep_ids, staged
 SHINGLE, SIMILARITY = 5, (75, 100)
 TOKENS, TREES, BRANCHES, NODE, MAX_DEPTH = 40, 10, 3, 256, 4
 #: Equal minwise tokens of 40 that two sets must have to be compared in full; at 0.75 they have 30 on average, and fewer
-#: than 13 once in 10**8.
-SKETCH = 13
+#: than 17 six times in a million.
+SKETCH = 17
+#: Members of a main component that one task compares with the members outside it.
+BLOCK = 2048
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 
 
@@ -76,13 +78,24 @@ def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sketches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The lower 16 bits of the tokens, which tell different ones apart well enough to choose what is compared."""
+    tokens = np.asarray(batch.column(1).flatten()).astype(np.uint16).tobytes()
+    width = 2 * TOKENS
+    parts = [tokens[k : k + width] for k in range(0, len(tokens), width)]
+    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.binary())], names=["id", "tokens", "sketch"])
+
+
+def _matrix(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in sketches), np.uint16).reshape(-1, TOKENS)
+
+
 def _similar(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(a, b, same) from pairs with the tokens of both, for those with enough tokens in common."""
-    x, y = (np.asarray(batch.column(k).flatten()).reshape(-1, TOKENS) for k in (2, 3))
-    same = (x == y).sum(1)
+    """(id, pivot, same) from pairs with the sketches of both, for those with enough tokens in common."""
+    same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(1)
     near = pa.array(same >= SKETCH)
     yield pa.RecordBatch.from_arrays(
-        [batch.column(0).filter(near), batch.column(1).filter(near), longs(same[same >= SKETCH])], names=["a", "b", "same"]
+        [batch.column(0).filter(near), batch.column(1).filter(near), longs(same[same >= SKETCH])], names=["id", "pivot", "same"]
     )
 
 
@@ -107,34 +120,80 @@ def _confirm(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents in ``ids``; ``docs`` is (id, text)."""
+    ids = staged(ids.distinct(), "pair-ids")
+    return staged(by_batch(keep_ids(docs, ids, "id"), _sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the written ``pairs`` (a, b) whose full sets are similar; ``docs`` is (id, text)."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    sets = staged(by_batch(keep_ids(docs, ids, "id"), _sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    """Those of the written ``pairs`` (a, b) whose full sets are similar."""
+    sets = shingles_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     one = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     whole = pairs.join(one.hint("merge"), "b").join(two.hint("merge"), "a").select("a", "b", "x", "y")
     return staged(by_batch(whole, _confirm, "a long, b long"), "links")
 
 
-def _leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in one small node that their tokens call similar."""
-    rows = pa.Table.from_batches(batches)
-    ids, comps = (rows[k].to_numpy() for k in ("id", "comp"))
-    # the lower bits tell different tokens apart well enough to choose what is confirmed later
-    tokens = np.asarray(rows["tokens"].combine_chunks().flatten()).reshape(-1, TOKENS).astype(np.uint16)
-    found = [(np.empty(0, np.int64),) * 2]
-    for k in range(len(ids) - 1):
-        near = np.flatnonzero(((tokens[k + 1 :] == tokens[k]).sum(1) >= SKETCH) & (comps[k + 1 :] != comps[k])) + k + 1
-        found.append((np.minimum(ids[k], ids[near]), np.maximum(ids[k], ids[near])))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _candidates(table: pa.Table) -> pa.Table:
+    """Members of one group that their sketch calls similar to a member of another component."""
+    comps = table["comp"].to_numpy()
+    sketches = _matrix(table["sketch"].combine_chunks())
+    found = np.zeros(len(comps), bool)
+    values, counts = np.unique(comps, return_counts=True)
+    main = comps == values[np.argmax(counts)]
+    for k in np.flatnonzero(~main):  # members of the main component need not be compared with each other
+        near = ((sketches == sketches[k]).sum(1) >= SKETCH) & (comps != comps[k])
+        found |= near
+        found[k] |= near.any()
+    return table.select(["node", "id", "comp"]).filter(pa.array(found))
 
 
-def _with_tokens(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    x = reps.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    y = reps.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+def _compare(table: pa.Table) -> pa.Table:
+    """Links between components of one group, confirmed on full sets; not more than connect what they connect."""
+    part, whole = SIMILARITY
+    ids, comps = table["id"].to_numpy(), table["comp"].to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), U) for x in table["shingles"].combine_chunks()]
+    sizes = np.array([len(x) for x in sets])
+    shingles, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(column, minlength=len(shingles)) > 1
+    column_of = np.cumsum(often) - 1
+    row, column = row[often[column]], column_of[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    values, counts = np.unique(comps, return_counts=True)
+    other = np.flatnonzero(comps != values[np.argmax(counts)])
+    shared = np.zeros((len(other), len(sets)), np.float32)
+    width = max(1, (8 << 20) // len(sets))
+    for low in range(0, int(often.sum()), width):  # a band of shingles at a time, so that memory is bounded
+        a, b = np.searchsorted(column, [low, low + width])
+        band = np.zeros((len(sets), width), np.float32)
+        band[row[a:b], column[a:b] - low] = 1
+        shared += band[other] @ band.T
+    union = sizes[other][:, None] + sizes[None, :] - shared
+    x, y = np.nonzero((whole * shared >= part * union) & (shared > 0) & (comps[other][:, None] != comps[None, :]))
+    root = {c: c for c in values.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    links = []
+    for k, j in zip(other[x].tolist(), y.tolist(), strict=True):
+        a, b = find(int(comps[k])), find(int(comps[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((int(ids[k]), int(ids[j])))
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    x = reps.select("id", F.col("sketch").alias("x"))
+    y = reps.select(F.col("id").alias("pivot"), F.col("sketch").alias("y"))
+    return pairs.join(x, "id").join(y, "pivot").select("id", "pivot", "x", "y")
 
 
 def _mixed(points: DataFrame) -> DataFrame:
@@ -164,7 +223,7 @@ def _groups(points: DataFrame, blocks_of_all: bool) -> DataFrame:
         dealt = points.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         node = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
         return dealt.select(node.alias("node"), "id")
-    last = F.when(F.col("size") <= NODE, F.lit(0)).otherwise(F.floor((F.col("size") - F.col("others")) / NODE)).cast("int")
+    last = F.when(F.col("size") <= NODE, F.lit(0)).otherwise(F.floor((F.col("size") - F.col("others")) / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("id"), last + 1).cast("int")
     within = F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), last))
     return points.select("node", "id", F.explode(within).alias("block")).select(F.xxhash64("node", "block").alias("node"), "id")
@@ -200,7 +259,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     signed = staged(by_batch(docs, _sign, "id long, n long, low long, high long, tokens array<long>"), "signed")
     classes = signed.filter("n > 0").groupBy("low", "high", "n").agg(F.min("id").alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("id")).distinct(), "id").select("id", "tokens")
-    reps = staged(reps.dropDuplicates(["id"]), "classes")
+    reps = by_batch(reps.dropDuplicates(["id"]), _sketches, "id long, tokens array<long>, sketch binary")
+    reps = staged(reps, "classes")
 
     roots = reps.select("id", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
     points = roots.select(F.xxhash64("tree", "token").alias("node"), "id", F.col("id").alias("comp"))
@@ -210,12 +270,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if nodes.isEmpty():
             break
         points = staged(points.join(nodes, "node"), "points")
-        pairs = points.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), "id")
-        near = by_batch(_with_tokens(pairs.select("a", "b").distinct(), reps), _similar, "a long, b long, same long")
-        # each member's most similar pivot; a and b may have different ones
-        best = near.select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "same")
-        best = best.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("same", F.xxhash64("a", "b"))).alias("p"))
-        pairs = staged(best.select("p.a", "p.b").distinct(), "pairs")
+        pairs = points.filter("id <> pivot").select("id", "pivot").distinct()
+        near = by_batch(_with_sketches(pairs, reps), _similar, "id long, pivot long, same long")
+        best = near.groupBy("id").agg(F.max(F.struct("same", "pivot")).alias("best"))  # each member's most similar pivot
+        pairs = staged(best.select(F.col("id").alias("a"), F.col("best.pivot").alias("b")), "pairs")
         comp = _relabel(comp, confirmed(pairs, docs))
         points = staged(_labelled(points, comp), "points")
         nodes = staged(_mixed(points), "nodes")
@@ -242,10 +300,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for more in leaves[1:]:
             points = points.unionByName(more)
         points = _labelled(points.distinct(), comp)
-        mixed = points.join(_mixed(points).select("node"), "node").join(reps, "id").select("node", "id", "comp", "tokens")
-        pairs = staged(mixed.groupBy("node").applyInArrow(_leaf_table, "a long, b long").distinct(), "pairs")
-        if not pairs.isEmpty():
-            comp = _relabel(comp, confirmed(pairs, docs))
+        mixed = points.join(_mixed(points).select("node"), "node").join(reps, "id").select("node", "id", "comp", "sketch")
+        close = staged(mixed.groupBy("node").applyInArrow(_candidates, "node long, id long, comp long"), "close")
+        if not close.isEmpty():
+            groups = close.join(shingles_of(docs, close.select("id")), "id").select("node", "id", "comp", "shingles")
+            comp = _relabel(comp, staged(groups.groupBy("node").applyInArrow(_compare, "a long, b long"), "links"))
     known = classes.withColumnRenamed("rep", "id")
     if comp is not None:
         known = known.join(comp, "id", "left")
@@ -262,10 +321,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
-def _leaf_table(table: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(_leaf(iter(table.to_batches())))
-
-
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One document of each component, all columns as they are; repeated rows of an id become one row, and rows without
     an id are left out (nothing can refer to them)."""
