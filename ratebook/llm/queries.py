@@ -9,10 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .language_id import language_id
 from .near_dedup import near_duplicates
+from .quality_model import quality
 from .quality_rules import quality_rules
 from .substring_dedup import substring_duplicates
 from .token_index import ids_folder, read_ids, write_ids
+from .warc import pages_from, read_archives, write_archives
+from .work import work_dir
 
 #: Vocabulary files of public tokenizers (a parameter of the operators; never copied).
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(public_tokenizers.__file__)
@@ -25,6 +29,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_documents(spark, sf_dir))
+
+
 def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = _documents(spark, sf_dir), ids_folder(spark)
     write_ids(docs, folder, os.path.join(TOKENIZERS, "byte_bpe_50k.json"), END_ID)
@@ -39,19 +47,32 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_duplicates(_documents(spark, sf_dir))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "warc")
+    archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return pages_from(read_archives(archives, folder, with_data=False))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir)).drop("failed_rules")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op2_token_index": op2_token_index,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
