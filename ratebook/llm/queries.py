@@ -7,19 +7,24 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .language_id import language_id
 from .near_dedup import near_duplicates
+from .pieces import segment
 from .quality_model import quality
 from .quality_rules import quality_rules
 from .substring_dedup import substring_duplicates
 from .token_index import ids_folder, read_ids, write_ids
+from .token_rollup import Rollup, deltas, token_counts
 from .warc import pages_from, read_archives, write_archives
-from .work import work_dir
+from .work import staged, work_dir
 
 #: Vocabulary files of public tokenizers (a parameter of the operators; never copied).
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(public_tokenizers.__file__)
+BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
+PIECES = os.path.join(TOKENIZERS, "piece_bpe_32k.model")
 END_ID = 2
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +40,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = _documents(spark, sf_dir), ids_folder(spark)
-    write_ids(docs, folder, os.path.join(TOKENIZERS, "byte_bpe_50k.json"), END_ID)
+    write_ids(docs, folder, BYTE_BPE, END_ID)
     return read_ids(docs, folder, with_ids=False)
 
 
@@ -47,6 +52,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_duplicates(_documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents; exact copies deleted (the smallest id stays); the rest counted anew
+    with the end id.  The second batch is committed twice and all are folded, which changes nothing."""
+    docs = _documents(spark, sf_dir)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counts = staged(token_counts(docs, BYTE_BPE, "byte_bpe_50k"), "token-counts")
+    first = docs.groupBy(F.xxhash64(text).alias("h1"), F.md5(text).alias("h2")).agg(F.min("doc_id").alias("id"))
+    first = staged(first.select("id"), "first-copies")
+    stays = counts.join(first, "id", "left_semi")
+    revised = stays.withColumns({"tokens": F.col("tokens") + 1, "tokenizer": F.lit("byte_bpe_50k+end")})
+    rollup = Rollup(spark, work_dir(spark, "token-rollup"))
+    rollup.commit("1-insert", deltas(None, counts))
+    for _ in range(2):
+        rollup.commit("2-delete-copies", deltas(counts.join(first, "id", "left_anti"), None))
+    rollup.commit("3-end-id", deltas(stays, revised))
+    rollup.compact()
+    return rollup.totals()
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "warc")
     archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
@@ -65,14 +89,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir)).drop("failed_rules")
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment(_documents(spark, sf_dir), PIECES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_token_index": op2_token_index,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
+    "op10_pieces": op10_pieces,
 }
 ORACLES: dict[str, str] = {}

@@ -261,14 +261,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """(id, doubtful, stays): runs of windows of a document that may be repeated, and those that are first of their kind.
     Documents without the former have no row.  ``docs`` is (id, text)."""
     anchors = by_batch(docs.select("text"), lambda b: _anchors(b, window, gram), "anchor long")
-    repeated = anchors.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # written, so that the join below has a plain exchange on both sides and hot anchors are split
+    repeated = staged(anchors.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
     schema = "anchor long, passage long, id long, start int, windows int"
     found = by_batch(docs, lambda b: _occurrences(b, window, gram), schema)
     found = staged(found.join(repeated.hint("merge"), "anchor"), "passages")
 
     first = F.min(F.struct("id", "start", "windows")).alias("at")
     distinct = staged(found.groupBy("anchor", "passage").agg(first), "distinct-passages")
-    counts = distinct.groupBy("anchor").agg(F.count("*").alias("different"))
+    counts = staged(distinct.groupBy("anchor").agg(F.count("*").alias("different")), "counts")
     distinct = staged(distinct.select("anchor", "at.*").join(counts.hint("merge"), "anchor"), "references")
     runs = ["id", "start", "windows"]
     alone = distinct.filter("different = 1").select(*runs)

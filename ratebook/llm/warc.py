@@ -81,6 +81,7 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, refers_to) of pages whose payload a page of larger id has too; ``pages`` is (page_id, payload)."""
     found = staged(by_batch(pages, _digests, "page_id long, sha binary, size long"), "digests").filter(F.col("size") >= min_bytes)
     groups = found.groupBy("sha", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    groups = staged(groups, "copies")  # a plain table, so that hot payloads are split in the join
     return found.join(groups, ["sha", "size"]).filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
 
 
@@ -261,7 +262,8 @@ def read_archives(archives: DataFrame, folder: str, with_data: bool = True) -> D
     revisit those of the payload that it stands for.  Without data the rows are streamed and checked all the same."""
     bounded_batches(archives.sparkSession, rows=256)
     schema = CHUNK_SCHEMA if with_data else CHUNK_SCHEMA.rsplit(",", 1)[0]
-    names = archives.select("name").repartition(F.col("name"))
+    # a task per archive
+    names = archives.select("name").repartition(max(1, archives.count()), "name")
     return names.mapInArrow(lambda b: _read(b, folder, with_data), schema)
 
 

@@ -27,7 +27,7 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` that join ``ids`` (a written table with one row per id): few rows are broadcast, so that texts
-    don't move; beyond BROADCAST_IDS both sides are shuffled."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    """Rows of ``docs`` that join ``ids`` (a written table with one row per id).  A table of nothing but few ids is
+    broadcast, so that texts don't move; beyond BROADCAST_IDS, and with other columns, both sides are shuffled."""
+    few = ids.columns == [on] and ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids.hint("merge"), on, how)
