@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -219,11 +220,10 @@ class Segmenter:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         at = np.arange(len(ids)) + len(self.first) - 1
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter((x for y in ids for x in y), np.int32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
         self.score, self.second = np.concatenate([self.score, score]), np.concatenate([self.second, second])
-        both = np.concatenate([self.hash, part])
-        order = np.argsort(both, kind="stable")
-        self.hash, self.at = both[order], np.concatenate([self.at, at])[order]
+        place = np.searchsorted(self.hash, part)  # both are in order
+        self.hash, self.at = np.insert(self.hash, place, part), np.insert(self.at, place, at)
 
     def block(self, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         """Columns of SCHEMA but the id."""

@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ GAMMA, LEVELS = 2.0, 64
 #: Documents of a shard: its index is built in memory and loaded as a whole.
 SHARD_DOCS = 20_000
 CACHED_WORDS = 400_000
+#: Bytes of text whose distinct parts are found together.
+ENCODED = 2 << 20
 
 
 # --- minimal perfect hash
@@ -96,6 +99,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker: what it remembers serves all tasks that run there."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library.
 
@@ -123,14 +132,12 @@ class Encoder:
         end = np.append(start[1:], len(data))
         if not len(start):
             return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64)
-        part, where = np.unique(span_hashes(data, start, end), return_inverse=True)
+        part, sample, where = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
         place = self._known(part)
         missing = np.flatnonzero(place < 0)
         if len(missing):
-            sample = np.empty(len(part), np.int64)
-            sample[where[::-1]] = np.arange(len(where))[::-1]
             raw = data.tobytes()
-            texts = [raw[start[k] : end[k]].decode() for k in sample[missing]]
+            texts = [raw[start[k] : end[k]].decode() for k in sample[missing].tolist()]
             found = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
             place[missing] = len(self.first) - 1 + np.arange(len(missing))
             self._learn(part[missing], found)
@@ -158,12 +165,12 @@ class Encoder:
 
     def _learn(self, part: np.ndarray, found: list[list[int]]) -> None:
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         at = np.arange(len(found)) + len(self.first) - 1
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
         self.ids = np.concatenate([self.ids, flat])
-        order = np.argsort(both := np.concatenate([self.hash, part]), kind="stable")
-        self.hash, self.at = both[order], np.concatenate([self.at, at])[order]
+        place = np.searchsorted(self.hash, part)  # both are in order
+        self.hash, self.at = np.insert(self.hash, place, part), np.insert(self.at, place, at)
 
 
 # --- shards
@@ -210,7 +217,7 @@ class ShardIndex:
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
     """One partition, in order of ids, to shards; yields a row of the manifest for each."""
     files, root = _files(folder)
-    encoder = Encoder(path)
+    encode = encoder(path).encode
     kind = np.dtype(f"<u{width}")
     keys: list[int] = []
     sizes: list[int] = []
@@ -229,8 +236,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
 
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        for i, j, data, bounds in blocks(batch.column(1)):
-            tokens, first = encoder.encode(data, bounds)
+        for i, j, data, bounds in blocks(batch.column(1), ENCODED):
+            tokens, first = encode(data, bounds)
             for k in range(i, j):
                 if keys and ids[k] == keys[-1]:  # a repeated row of an id
                     continue

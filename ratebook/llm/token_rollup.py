@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textops import blocks, bounded_batches
-from .token_index import Encoder
+from .token_index import ENCODED, encoder
 from .work import by_batch
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -30,18 +29,13 @@ TOTALS = ["docs", "tokens"]
 _SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
-@lru_cache(2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def token_counts(docs: DataFrame, path: str, version: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, source, lang, tokenizer, tokens) of each row of ``docs``; a null text has no tokens."""
     bounded_batches(docs.sparkSession)
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j, data, bounds in blocks(batch.column(1)):
-            first = _encoder(path).encode(data, bounds)[1]
+        for i, j, data, bounds in blocks(batch.column(1), ENCODED):
+            first = encoder(path).encode(data, bounds)[1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[i:j], batch.column(2)[i:j], batch.column(3)[i:j], pa.array(np.diff(first).astype(np.int64))],
                 names=["id", "source", "lang", "tokens"],
