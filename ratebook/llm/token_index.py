@@ -301,6 +301,8 @@ def _manifest(folder: str) -> tuple[int, list[dict]]:
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     width, shards = _manifest(folder)
+    if not shards:
+        return
     files, root = _files(folder)
     low, high = (np.array([s[k] for s in shards], np.int64) for k in ("low", "high"))
 
