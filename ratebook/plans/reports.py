@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import BAND_LATITUDE
-from ..functions.aggregates import exact_mean, quantile, quantiles
+from ..functions.aggregates import exact_mean, quantiles
 from ..functions.prices import latitude_band
+from ..operators.joins import null_safe_join
 from ..operators.ranking import top_k
 from ..operators.reshape import complete_pairs, conditional_pivot
-from ..operators.rollups import share_of_total
+from ..operators.rollups import exact_quantiles, share_of_total
 
 PROCEDURE = ["code_1_type", "code_1", "description"]
 LOCATION = ["facility_id", "mrf_location_name"]
@@ -48,17 +49,21 @@ def representation_breakdown(fact: DataFrame, digits: int | None = 2) -> DataFra
 
 
 def payer_price_summary(fact: DataFrame, digits: int | None = 2, scale: int | None = None) -> DataFrame:
-    """Dollar prices per plan: count, mean, median, range."""
+    """Dollar prices per plan: count, mean, median (exact at any group size), range."""
     price = F.col("negotiated_dollar")
+    rows = dollar_rows(fact, coded=False)
+    summary = rows.groupBy("plan").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        rounded(exact_mean(price, scale), digits).alias("avg_negotiated_price"),
+        rounded(F.min(price), digits).alias("min_negotiated_price"),
+        rounded(F.max(price), digits).alias("max_negotiated_price"),
+    )
+    medians = exact_quantiles(rows.select("plan", "negotiated_dollar"), ["plan"], "negotiated_dollar", {"median": 0.5})
     return (
-        dollar_rows(fact, coded=False)
-        .groupBy("plan")
-        .agg(
-            F.count(F.lit(1)).alias("row_count"),
-            rounded(exact_mean(price, scale), digits).alias("avg_negotiated_price"),
-            rounded(quantile(price, 0.5), digits).alias("median_negotiated_price"),
-            rounded(F.min(price), digits).alias("min_negotiated_price"),
-            rounded(F.max(price), digits).alias("max_negotiated_price"),
+        null_safe_join(summary, medians, ["plan"])
+        .select(
+            "plan", "row_count", "avg_negotiated_price", rounded("median", digits).alias("median_negotiated_price"),
+            "min_negotiated_price", "max_negotiated_price",
         )
         .orderBy(F.col("avg_negotiated_price").desc(), "plan")
     )
