@@ -35,7 +35,8 @@ from .work import work_dir
 GAMMA, LEVELS = 2.0, 64
 #: Documents of a shard: its index is built in memory and loaded as a whole.
 SHARD_DOCS = 20_000
-CACHED_WORDS = 400_000
+#: Parts of texts that a worker remembers, about 50 bytes each.
+CACHED_WORDS = 2_000_000
 #: Bytes of text whose distinct parts are found together.
 ENCODED = 2 << 20
 
@@ -110,7 +111,7 @@ class Encoder:
 
     The library's byte-level tokenizers never join what stands before a space with what follows it, where the space comes
     after a visible character.  Texts are cut there, each distinct part of a block is encoded by the library once, and
-    the ids of the most frequent parts are kept for later blocks.
+    the ids of parts are kept for later blocks; when there are too many, those that no later block had are forgotten.
     """
 
     def __init__(self, path: str):
@@ -124,7 +125,10 @@ class Encoder:
         before, earlier = data[space - 1], data[space - 2]
         plain = (before > 32) & (before < 127)
         letter = (before >= 0x80) & (earlier >= 0xC3) & (earlier <= 0xDF)
-        return np.union1d(space[plain | letter], bounds[:-1][np.diff(bounds) > 0])
+        cut = np.zeros(len(data), bool)
+        cut[space[plain | letter]] = True
+        cut[bounds[:-1][np.diff(bounds) > 0]] = True
+        return np.flatnonzero(cut)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of the block, first id of each)."""
@@ -138,7 +142,7 @@ class Encoder:
         if len(missing):
             raw = data.tobytes()
             texts = [raw[start[k] : end[k]].decode() for k in sample[missing].tolist()]
-            found = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             place[missing] = len(self.first) - 1 + np.arange(len(missing))
             self._learn(part[missing], found)
         size = (self.first[1:] - self.first[:-1])[place][where]
@@ -146,13 +150,27 @@ class Encoder:
         flat = np.arange(ends[-1]) + np.repeat(self.first[place][where] - (ends - size), size)
         ids = self.ids[flat]
         first = np.concatenate([[0], ends])[np.searchsorted(start, bounds)]
-        if len(self.first) > CACHED_WORDS:  # rare parts would fill the memory: begin again
-            self._forget()
+        if len(self.first) > CACHED_WORDS:
+            self._trim()
         return ids, first
 
     def _forget(self) -> None:
         self.hash, self.at = np.empty(0, U), np.empty(0, np.int64)
         self.first, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.again = np.empty(0, bool)
+
+    def _trim(self) -> None:
+        """Keep what was met again since the last time, if that leaves room for others."""
+        keep = self.again[self.at]
+        if 2 * int(keep.sum()) > CACHED_WORDS:
+            self._forget()
+            return
+        self.hash, old = self.hash[keep], self.at[keep]
+        size = (self.first[1:] - self.first[:-1])[old]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.arange(int(size.sum())) + np.repeat(self.first[old] - (ends - size), size)]
+        self.first, self.at = np.concatenate([[0], ends]), np.arange(len(old))
+        self.again = np.zeros(len(old), bool)
 
     def _known(self, part: np.ndarray) -> np.ndarray:
         place = np.full(len(part), -1, np.int64)
@@ -161,6 +179,7 @@ class Encoder:
             at[at == len(self.hash)] = 0
             hit = self.hash[at] == part
             place[hit] = self.at[at[hit]]
+            self.again[place[hit]] = True
         return place
 
     def _learn(self, part: np.ndarray, found: list[list[int]]) -> None:
@@ -169,6 +188,7 @@ class Encoder:
         at = np.arange(len(found)) + len(self.first) - 1
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
         self.ids = np.concatenate([self.ids, flat])
+        self.again = np.concatenate([self.again, np.zeros(len(found), bool)])
         place = np.searchsorted(self.hash, part)  # both are in order
         self.hash, self.at = np.insert(self.hash, place, part), np.insert(self.at, place, at)
 

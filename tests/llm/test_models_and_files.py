@@ -85,7 +85,9 @@ def test_quality_keeps_good_and_drops_rejected(spark):
     assert quality(docs.limit(0), labels).collect() == []
 
 
-def test_encoder_equals_the_library_on_whole_texts():
+@pytest.mark.parametrize("remembered", [token_index.CACHED_WORDS, 8])
+def test_encoder_equals_the_library_on_whole_texts(monkeypatch, remembered):
+    monkeypatch.setattr(token_index, "CACHED_WORDS", remembered)
     encoder, library = token_index.Encoder(queries.BYTE_BPE), token_index._tokenizer(queries.BYTE_BPE)
     for _ in range(2):  # the second time from memory
         for i, j, data, bounds in blocks(pa.array(AWKWARD)):
