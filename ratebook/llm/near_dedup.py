@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textops import LOWER, SPACE, Sequences, U, Words, blocks, bounded_batches, lists, longs, mix
+from .textops import LOWER, SPACE, Sequences, U, Words, blocks, bounded_batches, distinct, lists, longs, mix
 from .work import by_batch, keep_ids, staged
 
 SHINGLE, SIMILARITY = 5, (75, 100)
@@ -41,7 +41,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> l
     sets = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= size:
-            sets.append(np.unique(every[a : b - size + 1]))
+            sets.append(distinct(every[a : b - size + 1]))
         else:
             sets.append(runs.of(np.array([a]), b - a) if b > a else every[:0])
     return sets
