@@ -37,21 +37,22 @@ def interaction_feature(df: DataFrame, columns: Sequence[str], into: str, separa
 
 
 def grouped_folds(df: DataFrame, group: str, k: int = FOLDS, into: str = "fold") -> DataFrame:
-    """Assign whole groups to ``k`` folds of similar size.
+    """Assign whole groups to ``k`` folds of similar size: dealt out in order of size, back and forth.
 
-    Groups with a noticeable share of the rows are dealt out in order of size, back and forth; there are at
-    most ``1000 * k`` of them.  Smaller ones go by hash, which is even enough because each is so small.
+    Groups are numbered within ranges of that order, after the groups of the ranges before; NULL is no group.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    marked = sizes.withColumn("_large", F.col("_n") * (1000 * k) >= total)
-    dealt = marked.filter("_large").withColumn(
-        "_i", F.row_number().over(W.orderBy(F.col("_n").desc(), F.col(group))) - 1
-    )
-    lap, place = F.floor(F.col("_i") / k), F.col("_i") % k
-    dealt = dealt.select(group, F.when(lap % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias(into))
-    hashed = marked.filter("not _large").select(group, F.pmod(F.xxhash64(group), F.lit(k)).cast("int").alias(into))
-    return df.join(dealt.unionByName(hashed), group)
+    order = [F.col("_n").desc(), F.col(group)]
+    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    # written, so that a group keeps its range between the count and the numbering
+    ranged = staged(sizes.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "group-sizes")
+    ranges = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_groups"))
+    before = F.sum("_groups").over(W.orderBy("_range")) - F.col("_groups")  # one row per range
+    within = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    dealt = ranged.withColumn("_i", within).join(ranges.select("_range", before.alias("_before")), "_range")
+    i = F.col("_before") + F.col("_i")
+    lap, place = F.floor(i / k), i % k
+    fold = F.when(lap % 2 == 0, place).otherwise(k - 1 - place).cast("int")
+    return df.join(dealt.select(group, fold.alias(into)), group)
 
 
 class OneHot:
@@ -224,4 +225,7 @@ def segment_evaluate(
                     F.lit(n_groups).cast("long").alias("groups"), "r2", "mae",
                 )
             )
+    if not parts:
+        columns = "model string, rows long, groups long, r2 double, mae double"
+        return df.sparkSession.createDataFrame([], f"`{segment}` string, {columns}")
     return reduce(DataFrame.unionByName, parts)

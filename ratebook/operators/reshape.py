@@ -2,36 +2,17 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..fixed_values import PAYER_COLUMN_PATTERN, PAYER_METRICS
+from ..fixed_values import PAYER_METRICS
 from ..functions.text import optional
 
 
-def discover_groups(
-    columns: Iterable[str], pattern: str = PAYER_COLUMN_PATTERN
-) -> dict[tuple[str, str], dict[str, str]]:
-    """Payer columns of a wide table as {(payer, plan): {metric: column}}; a repeated metric is an error."""
-    groups: dict[tuple[str, str], dict[str, str]] = {}
-    for column in columns:
-        found = re.match(pattern, column)
-        if not found:
-            continue
-        measure, payer, plan, detail = found.groups()
-        metric = detail if measure == "standard_charge" else measure
-        metrics = groups.setdefault((payer.strip(), plan.strip()), {})
-        if metric in metrics:
-            raise ValueError(f"{metric} occurs twice for payer {payer!r}, plan {plan!r}")
-        metrics[metric] = column
-    return groups
-
-
 def wide_to_long(
     df: DataFrame,
     groups: Mapping[tuple, Mapping[str, str]],
@@ -62,18 +43,6 @@ def drop_empty(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns]))
 
 
-def fix_header_variants(df: DataFrame) -> DataFrame:
-    """Name the lone modifier column in front of ``setting`` ``modifier``; add ``modifiers`` where missing."""
-    names = df.columns
-    if "modifier" not in names and "setting" in names:
-        ahead = [c for c in names[: names.index("setting")] if c.strip().lower() in ("modifier", "modifiers")]
-        if len(ahead) == 1:
-            df = df.withColumnRenamed(ahead[0], "modifier")
-    if "modifiers" not in df.columns:
-        df = df.withColumn("modifiers", F.lit(None).cast("string"))
-    return df
-
-
 def flatten_nested(df: DataFrame, levels: Sequence[tuple[str | Column, str, str]]) -> DataFrame:
     """Explode nested arrays level by level.
 

@@ -99,8 +99,10 @@ def msdrg_comparison(
     code_type: str = INPATIENT_CODE_TYPE,
     categories: Sequence[str] = ("Commercial", "Medicare"),
     all_systems: int = 3,
+    scale: int | None = None,
 ) -> DataFrame:
-    """System-level prices of stays that all systems price, against the median over systems."""
+    """System-level prices of stays that all systems price, against the median over systems.  ``scale`` takes
+    means over decimals."""
     keys = ["msdrg_code", "payer_category"]
     price = F.col("median_negotiated_price")
     systems = (
@@ -115,7 +117,7 @@ def msdrg_comparison(
             F.min("description").alias("description"),
             F.count(F.lit(1)).alias("location_observations"),
             F.count_distinct(F.concat("facility_id", F.lit("|"), "mrf_location_name")).alias("location_count"),
-            F.avg(price).alias("mean_location_price"),
+            exact_mean(price, scale).alias("mean_location_price"),
             quantile(price, 0.5).alias("median_system_price"),
             F.min(price).alias("min_location_price"),
             F.max(price).alias("max_location_price"),
@@ -124,11 +126,13 @@ def msdrg_comparison(
     )
     # at most one row per system in a window
     group = W.partitionBy(*keys)
+    median = F.col("median_system_price")
+    total = F.sum(median if scale is None else median.cast(f"decimal(28,{scale})")).over(group).cast("double")
     return (
         systems.withColumns({
             "_systems": F.count("system_name").over(group),
             "matched_group_median_price": quantile("median_system_price", 0.5).over(group),
-            "matched_group_mean_price": F.avg("median_system_price").over(group),
+            "matched_group_mean_price": F.try_divide(total, F.count(median).over(group)),
         })
         .filter(F.col("_systems") == all_systems)
         .drop("_systems")

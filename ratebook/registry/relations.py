@@ -10,6 +10,7 @@ from ..operators import ranking as K
 from ..operators import reshape as S
 from ..operators import rollups as U
 from ..operators.quality import set_difference
+from ..plans.normalize import column_groups
 from ..sources.manifest import parse_kv_manifest
 from ..sources.nested_json import header_array_rows
 from ..sources.sinks import pending_work
@@ -19,7 +20,7 @@ from .reports import MEAN
 
 # --- reshape ------------------------------------------------------------------------------------------
 
-_PAIRS = [(A.PAYERS[p], A.PLANS[q]) for p in ("AUTOMOBILE", "BUILDING", "FURNITURE") for q in ("1-URGENT", "2-HIGH")]
+_PAIRS = [(A.PAYERS[p], A.PLANS[q]) for p in A.PAYERS for q in A.PLANS]
 _METRICS = {
     "negotiated_dollar": "max(negotiated_dollar)",
     "negotiated_percentage": "min(negotiated_percentage)",
@@ -52,15 +53,13 @@ def wide_prices(spark, sf):
         CAST(NULL AS DOUBLE) AS median_amount, CAST(NULL AS DOUBLE) AS p10_amount, CAST(NULL AS DOUBLE) AS p90_amount,
         nullif(COUNT(negotiated_algorithm), 0)::VARCHAR AS negotiated_count, CAST(NULL AS VARCHAR) AS methodology,
         CAST(NULL AS VARCHAR) AS additional_payer_notes
-      FROM raw_prices
-      WHERE payer IN ('Anthem Blue Cross', 'Blue Shield of California', 'Aetna Health')
-        AND plan IN ('MEDICARE', 'COMMERCIAL') GROUP BY ALL)
+      FROM raw_prices GROUP BY ALL)
     SELECT * FROM t WHERE negotiated_dollar IS NOT NULL OR negotiated_percentage IS NOT NULL
       OR negotiated_count IS NOT NULL""",
 )
 def wide_to_long(spark, sf):
-    wide = S.fix_header_variants(wide_prices(spark, sf)).drop("modifiers")
-    long = S.wide_to_long(wide, S.discover_groups(wide.columns))
+    wide = wide_prices(spark, sf)
+    long = S.wide_to_long(wide, column_groups(wide))
     return S.drop_empty(long, [c for c in long.columns if c not in ("facility_id", "code_1_type", "code_1", "payer", "plan")])
 
 
@@ -278,13 +277,13 @@ def semi_anti(spark, sf):
 
 @register(
     "set_difference",
-    """SELECT c_custkey AS key, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
-    UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders WHERE o_orderstatus = 'P'
-      AND o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+    """SELECT c_custkey AS key, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+    UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders
+      WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
 )
 def set_difference_query(spark, sf):
     expected = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    found = A.table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"))
+    found = A.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"))
     return set_difference(expected, found, ["key"])
 
 

@@ -39,15 +39,12 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("facility_i
     df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def export_single(df: DataFrame, path: str, max_rows: int = 5_000_000, mode: str = "overwrite") -> int:
-    """Write one part file for hand-off; beyond ``max_rows`` rows as many parts as needed, nothing left out.
+def export_single(df: DataFrame, path: str, parts: int = 1, mode: str = "overwrite") -> int:
+    """Write exactly ``parts`` part files for hand-off (one by default); returns their number.
 
-    Returns the number of parts asked for.
+    Only the writing runs in so few tasks.  A large table needs as many parts as the receiver can take.
     """
-    rows = df.count()
-    parts = max(1, -(-rows // max_rows))
-    out = df.coalesce(1) if parts == 1 else df.repartition(parts)
-    out.write.mode(mode).parquet(path)
+    df.repartition(parts).write.mode(mode).parquet(path)
     return parts
 
 

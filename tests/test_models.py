@@ -43,6 +43,14 @@ def test_folds_keep_groups_together_and_are_even(frame):
     assert len(folds) == 5 and max(folds) - min(folds) <= max(sizes)
 
 
+def test_folds_of_many_equal_groups_are_dealt(spark):
+    frame = spark.range(30_000).selectExpr("id % 10000 as g")
+    split = L.grouped_folds(frame.unionByName(spark.createDataFrame([(None,)], "g long")), "g", 5)
+    assert [r["count"] for r in split.groupBy("fold").count().collect()] == [6_000] * 5
+    seen = {r["g"]: r["fold"] for r in split.distinct().collect()}
+    assert [seen[g] for g in range(12)] == [0, 1, 2, 3, 4, 4, 3, 2, 1, 0, 0, 1]
+
+
 def test_unseen_category_is_all_zeros(spark, frame):
     model = L.Ridge().fit(frame, ["family"], "y")
     new = spark.createDataFrame([("A",), ("new",)], "family string")

@@ -11,6 +11,7 @@ from ratebook.operators import quality as Q
 from ratebook.operators import ranking as K
 from ratebook.operators import reshape as S
 from ratebook.operators import rollups as U
+from ratebook.plans.normalize import column_groups
 from ratebook.operators import zones as Z
 
 
@@ -18,18 +19,19 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-def test_discover_groups():
+def test_column_groups(spark):
     columns = ["description", "standard_charge|[P]|[A]|negotiated_dollar", "count|[P]|[A]", "median_amount|[P ]|[B]"]
-    assert S.discover_groups(columns) == {
+    table = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    assert column_groups(table) == {
         ("P", "A"): {"negotiated_dollar": columns[1], "count": columns[2]}, ("P", "B"): {"median_amount": columns[3]},
     }
-    with pytest.raises(ValueError):
-        S.discover_groups(["count|[P]|[A]", "count|[P ]|[A]"])
+    with pytest.raises(Exception, match="occurs twice"):
+        column_groups(spark.createDataFrame([], "`count|[P]|[A]` string, `count|[P ]|[A]` string"))
 
 
 def test_wide_to_long_round_trip(spark, rows):
     df = spark.createDataFrame([(1, "$5", "7"), (2, None, None)], "id int, `count|[P]|[A]` string, `count|[Q]|[A]` string")
-    long = S.wide_to_long(df, S.discover_groups(df.columns))
+    long = S.wide_to_long(df, column_groups(df))
     kept = S.drop_empty(long, ["negotiated_dollar", "negotiated_count"])
     assert rows(kept, "id", "payer", "negotiated_count") == [(1, "P", "$5"), (1, "Q", "7")]
     back = S.conditional_pivot(kept, ["id"], "payer", {"P": "p", "Q": "q"}, {"n": "negotiated_count"})
@@ -37,13 +39,6 @@ def test_wide_to_long_round_trip(spark, rows):
     assert "Python" not in plan(long)
 
 
-def test_fix_header_variants(spark):
-    df = spark.createDataFrame([("a", "b")], "`Modifiers ` string, setting string")
-    assert S.fix_header_variants(df).columns == ["modifier", "setting", "modifiers"]
-    two = spark.createDataFrame([("a", "b", "c")], "`Modifiers ` string, modifiers string, setting string")
-    assert "modifier" not in S.fix_header_variants(two).columns
-
-
 def test_conform_keeps_filters_at_the_scan(spark, tmp_path):
     from ratebook.plans.warehouse import SystemTable, multisystem_fact
 
