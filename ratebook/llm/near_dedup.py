@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if nodes.isEmpty():
             break
         points = staged(points.join(nodes, "node"), "points")
-        pairs = points.filter("id <> pivot").select("id", "pivot").distinct()
+        pairs = points.filter("id <> pivot").select("id", "pivot")  # few repeat: pivots differ from tree to tree
         near = by_batch(_with_sketches(pairs, reps), _similar, "id long, pivot long, same long")
         best = near.groupBy("id").agg(F.max(F.struct("same", "pivot")).alias("best"))  # each member's most similar pivot
         pairs = staged(best.select(F.col("id").alias("a"), F.col("best.pivot").alias("b")), "pairs")
