@@ -3,8 +3,9 @@
 Each document gets a few measures.  Fixed cutoffs are replaced by quantiles of each measure per language and source,
 read from mergeable sketches: counts of values in buckets whose width grows with the value (exact below ``EXACT``, then
 within 1/64 of the value).  Adding counts merges sketches, so the sketches of any parts of the corpus give the same
-thresholds as the whole, in any order and to the last digit.  A group with fewer than ``MIN_GROUP`` documents takes the
-sketch of its language, and where that is small too, of the corpus.
+thresholds as the whole, in any order and to the last digit.  No rule has a fixed limit: each lies beyond a quantile by a
+multiple of the distance between two quantiles.  A group with fewer than ``MIN_GROUP`` documents, or without a distance
+between the two, takes the sketch of its language, and where that has none either, of the corpus.
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ from .work import by_batch, staged
 
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
 EXACT, MIN_GROUP = 128, 100
-#: Measure: (upper quantile in thousandths, least threshold, factor in percent).  A document fails a rule when its
-#: measure is above both the least threshold and the factor times the group's quantile.
+#: Rule: (measure, end quantile and middle quantile in thousandths, factor in percent).  The limit lies beyond the end
+#: quantile by the factor times its distance from the middle one; a document fails above it, or below it where the end is
+#: the lower one.
 RULES = {
-    "word_length": (900, 800, 150),
-    "symbol_share": (900, 20, 300),
-    "dup_line_share": (900, 100, 300),
-    "repeat_share": (900, 200, 200),
+    "word_length": ("word_length", 900, 500, 400),
+    "short_words": ("word_length", 50, 500, 200),
+    "symbol_share": ("symbol_share", 900, 500, 200),
+    "dup_line_share": ("dup_line_share", 950, 500, 50),
+    "repeat_share": ("repeat_share", 900, 500, 400),
 }
+MEASURES = sorted({rule[0] for rule in RULES.values()})
+#: Largest value of the measures that have one.
+MOST = {"symbol_share": 1000, "dup_line_share": 1000, "repeat_share": 1000}
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -111,45 +117,74 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quantile(sketches: DataFrame, keys: list[str], thousandths: dict[str, int]) -> DataFrame:
-    """(keys, measure, total, value): the smallest bucket up to which at least that share of values lie.
+def quantiles(sketches: DataFrame, keys: list[str], thousandths: list[int]) -> DataFrame:
+    """(keys, measure, total, values): for each share, by its number, the smallest bucket up to which at least that share
+    of values lie.
 
     A sketch has a few thousand buckets at most, so they are put in order as one list per group.
     """
     cells = F.sort_array(F.collect_list(F.struct("bucket", "n")))
     lists = sketches.groupBy(*keys, "measure").agg(cells.alias("cells"), F.sum("n").alias("total"))
-    share = F.create_map(*[F.lit(x) for pair in thousandths.items() for x in pair])[F.col("measure")]
-    need = F.greatest(F.lit(1), F.ceil(F.col("total") * share / 1000)).cast("long")
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("at"))
 
-    def step(acc: Column, cell: Column) -> Column:
-        total = acc["sum"] + cell["n"]
-        at = F.when(acc["at"].isNull() & (total >= F.col("need")), cell["bucket"]).otherwise(acc["at"])
-        return F.struct(total.alias("sum"), at.alias("at"))
+    def value(share: int) -> Column:
+        need = F.greatest(F.lit(1), F.ceil(F.col("total") * share / 1000)).cast("long")
 
-    return lists.withColumn("need", need).select(*keys, "measure", "total", F.aggregate("cells", start, step)["at"].alias("value"))
+        def step(acc: Column, cell: Column) -> Column:
+            total = acc["sum"] + cell["n"]
+            at = F.when(acc["at"].isNull() & (total >= need), cell["bucket"]).otherwise(acc["at"])
+            return F.struct(total.alias("sum"), at.alias("at"))
+
+        return F.aggregate("cells", start, step)["at"].alias(f"q{share}")
+
+    return lists.select(*keys, "measure", "total", F.struct(*[value(x) for x in thousandths]).alias("values"))
+
+
+def _limit(end: Column, middle: Column, upper: bool, factor: int, most: int | None) -> Column:
+    """The limit beyond ``end``; at most half the way to the end of the measure's range, and below its maximum."""
+    beyond = F.floor(F.abs(end - middle) * factor / 100).cast("long")
+    if not upper:
+        return end - F.least(beyond, F.floor(end / 2).cast("long"))
+    if most is None:
+        return end + beyond
+    return F.least(end + F.least(beyond, F.floor((most - end) / 2).cast("long")), F.lit(most - 1).cast("long"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """(lang, source, one threshold per rule) for each group of ``measured``; null is a group like any other."""
+    """(lang, source, one limit per rule) for each group of ``measured``; null is a group like any other.
+
+    A group that is small, or in which the two quantiles of a rule are the same, has no scale of its own for the rule and
+    takes the quantiles of its language, and where that has none, of the corpus.
+    """
     keys = ["lang", "source"]
-    fine = staged(sketch(measured, keys, list(RULES)), "sketches")
+    shares = sorted({x for rule in RULES.values() for x in rule[1:3]})
+    fine = staged(sketch(measured, keys, MEASURES), "sketches")
     by_lang = merge(fine, ["lang"])
-    shares = {m: rule[0] for m, rule in RULES.items()}
-    own = quantile(fine, keys, shares)
-    lang = quantile(by_lang, ["lang"], shares).select(F.col("lang").alias("l"), "measure", F.col("total").alias("lt"), F.col("value").alias("lv"))
-    whole = quantile(merge(by_lang, []), [], shares).select("measure", F.col("value").alias("wv"))
+    own = quantiles(fine, keys, shares)
+    lang = quantiles(by_lang, ["lang"], shares).select(F.col("lang").alias("l"), "measure", F.col("total").alias("lt"), F.col("values").alias("lv"))
+    whole = quantiles(merge(by_lang, []), [], shares).select("measure", F.col("values").alias("wv"))
     chosen = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (own["measure"] == lang["measure"])).drop(lang["measure"], "l")
     chosen = chosen.join(whole, "measure")
-    value = F.when(F.col("total") >= MIN_GROUP, F.col("value")).when(F.col("lt") >= MIN_GROUP, F.col("lv")).otherwise(F.col("wv"))
-    least = F.create_map(*[F.lit(x) for m, rule in RULES.items() for x in (m, rule[1])])[F.col("measure")]
-    factor = F.create_map(*[F.lit(x) for m, rule in RULES.items() for x in (m, rule[2])])[F.col("measure")]
-    limit = F.greatest(least.cast("long"), F.floor(value * factor / 100).cast("long"))
+
+    def limit(measure: str, end: int, middle: int, factor: int) -> Column:
+        def scaled(values: str, total: str) -> Column:
+            return (F.col(total) >= MIN_GROUP) & (F.col(values)[f"q{end}"] != F.col(values)[f"q{middle}"])
+
+        used = F.when(scaled("values", "total"), F.col("values")).when(scaled("lv", "lt"), F.col("lv")).otherwise(F.col("wv"))
+        return _limit(used[f"q{end}"], used[f"q{middle}"], end > middle, factor, MOST.get(measure))
+
     return chosen.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("measure") == m, limit)).alias(f"max_{m}") for m in RULES]
+        *[F.max(F.when(F.col("measure") == rule[0], limit(*rule))).alias(f"limit_{name}") for name, rule in RULES.items()]
     )
 
 
+def _fails(name: str) -> Column:
+    """Whether a measure is beyond the limit of a rule, told in buckets, as the limit is."""
+    measure, end, middle, _ = RULES[name]
+    value, limit = bucket(F.col(measure)), F.col(f"limit_{name}")
+    return value > limit if end > middle else (value < limit) & (F.col("n_words") > 0)
+
+
 def quality_rules(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang: str = "lang", source: str = "source"
 ) -> DataFrame:
@@ -169,7 +204,7 @@ def quality_rules(
     # one row per language and source, broadcast if the planner finds it small, else joined with split hot groups
     both = measured.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
-    failed = F.filter(F.array(*[F.when(F.col(m) > F.col(f"max_{m}"), F.lit(m)) for m in RULES]), lambda x: x.isNotNull())
+    failed = F.filter(F.array(*[F.when(_fails(name), F.lit(name)) for name in RULES]), lambda x: x.isNotNull())
     return both.withColumns({"base_failed": base, "failed_rules": failed}).select(
         F.col("id").alias(id_column),
         *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"],

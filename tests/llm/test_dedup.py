@@ -9,7 +9,7 @@ import pytest
 from ratebook.llm import near_dedup, substring_dedup
 from ratebook.llm.components import components
 from ratebook.llm.decontaminate import contamination, drop_contaminated
-from ratebook.llm.quality_rules import quality_rules
+from ratebook.llm.quality_rules import MEASURES, RULES, quality_rules, thresholds
 from ratebook.llm.substring_dedup import Automaton, first_windows
 
 SCHEMA = "doc_id long, text string, lang string, source string, extra string"
@@ -219,3 +219,32 @@ def test_quality_measures_equal_brute_force(spark):
     assert not any(r.kept for r in found if r.base_failed)
     assert quality_rules(table(spark, [])).collect() == []
     assert [r.kept for r in quality_rules(spark.createDataFrame([(None, "x", None, None, "y")], SCHEMA)).collect()] == [False]
+
+
+def test_each_quality_threshold_follows_its_group(spark):
+    names = ["lang", "source", *MEASURES]
+
+    def rows(source, scale):
+        spread = [k * scale // 10 for k in range(200)]  # 0 to 20 times the scale
+        return [("en", source, *[(400 if m == "word_length" else 0) + v for m in MEASURES]) for v in spread]
+
+    # three groups of other scales, one that is small, one without a spread, one near the maximum of the shares
+    data = rows("low", 1) + rows("mid", 2) + rows("high", 10) + rows("few", 1)[:50]
+    data += [("en", "same", *[500] * len(MEASURES))] * 150
+    data += [("en", "full", *[600 + k if m == "word_length" else 1000 * (k % 2) for m in MEASURES]) for k in range(150)]
+    found = {r.source: r for r in thresholds(spark.createDataFrame(data, ", ".join(f"{n} {'string' if k < 2 else 'long'}" for k, n in enumerate(names)))).collect()}
+    for name in RULES:
+        column = f"limit_{name}"
+        assert len({found[s][column] for s in ("low", "mid", "high")}) == 3
+        assert found["few"][column] == found["same"][column]  # both take those of the language
+        if name not in ("word_length", "short_words"):
+            assert found["low"][column] < found["mid"][column] < found["high"][column]
+            assert found["full"][column] == 999  # a document of nothing else still fails
+    assert found["low"].limit_symbol_share < 100 and found["high"].limit_symbol_share > 200
+
+
+def test_quality_rules_pass_documents_that_are_all_alike(spark):
+    text = " ".join(f"word{k}" for k in range(100, 160))
+    assert all(r.kept for r in quality_rules(table(spark, [(k, text) for k in range(150)])).collect())
+    odd = table(spark, [(k, text.replace("word", "w" * (4 + k % 3))) for k in range(150)] + [(999, text.replace("word", "w" * 40))])
+    assert [r.doc_id for r in quality_rules(odd).collect() if not r.kept] == [999]
