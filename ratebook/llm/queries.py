@@ -53,20 +53,26 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents; exact copies deleted (the smallest id stays); the rest counted anew
-    with the end id.  The second batch is committed twice and all are folded, which changes nothing."""
+    """Totals of all documents under two tokenizer versions: without and with the end id.
+
+    Every kind of change takes part: all documents are inserted; exact copies are deleted (the smallest id stays), which is
+    committed twice and changes nothing the second time, and inserted again; all documents are inserted under the second
+    version with the counts of the first, which are then revised.  All batches are folded at the end."""
     docs = _documents(spark, sf_dir)
     text = F.coalesce(F.col("text"), F.lit(""))
     counts = staged(token_counts(docs, BYTE_BPE, "byte_bpe_50k"), "token-counts")
     first = docs.groupBy(F.xxhash64(text).alias("h1"), F.md5(text).alias("h2")).agg(F.min("doc_id").alias("id"))
     first = staged(first.select("id"), "first-copies")
-    stays = counts.join(first, "id", "left_semi")
-    revised = stays.withColumns({"tokens": F.col("tokens") + 1, "tokenizer": F.lit("byte_bpe_50k+end")})
+    copies = counts.join(first, "id", "left_anti")
+    draft = counts.withColumn("tokenizer", F.lit("byte_bpe_50k+end"))
+    revised = draft.withColumn("tokens", F.col("tokens") + 1)
     rollup = Rollup(spark, work_dir(spark, "token-rollup"))
     rollup.commit("1-insert", deltas(None, counts))
     for _ in range(2):
-        rollup.commit("2-delete-copies", deltas(counts.join(first, "id", "left_anti"), None))
-    rollup.commit("3-end-id", deltas(stays, revised))
+        rollup.commit("2-delete-copies", deltas(copies, None))
+    rollup.commit("3-insert-copies", deltas(None, copies))
+    rollup.commit("4-insert-end", deltas(None, draft))
+    rollup.commit("5-end-id", deltas(draft, revised))
     rollup.compact()
     return rollup.totals()
 

@@ -181,6 +181,19 @@ def test_rollup_is_additive_and_commits_once(spark, tmp_path):
     assert rollup.commit("nothing", deltas(a, a)) and totals() == expected[1:]
 
 
+def test_token_totals_cover_all_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text", "source", "lang").collect()
+    library, expected = token_index._tokenizer(queries.BYTE_BPE), collections.Counter()
+    for r in docs:
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids)
+        for version, tokens in (("byte_bpe_50k", n), ("byte_bpe_50k+end", n + 1)):
+            expected[r.source, r.lang, version, "docs"] += 1
+            expected[r.source, r.lang, version, "tokens"] += tokens
+    found = queries.op5_token_counts(spark, SMALL).collect()
+    assert {(r.source, r.lang, r.tokenizer, k): r[k] for r in found for k in ("docs", "tokens")} == dict(expected)
+    assert len({r.text for r in docs}) < len(docs)  # copies count too
+
+
 def brute(word, model):
     """All segmentations of a word, best first."""
     key = "".join("▁" if c == " " else "￿" if c == "▁" else c for c in word)
