@@ -12,7 +12,6 @@ distance between the two at most, and A* runs on these alone.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,6 +27,8 @@ from .work import by_batch
 N, LONGEST = 4, 16
 SPACE_MARK, LITERAL_MARK = 0x2581, 0x110000
 CACHED_WORDS = 300_000
+#: Characters of a word whose segmentations are remembered; longer ones are found anew.
+CACHED_LENGTH = 1000
 _BASE = 0x9E3779B97F4A7C15
 SCHEMA = (
     "id long, ids array<int>, n_pieces long, score double, round_trip boolean, "
@@ -169,36 +170,51 @@ def best(words: list[str], pieces: Vocabulary) -> tuple[list[list[int]], np.ndar
 
 def n_best(word: str, n: int, pieces: Vocabulary) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations of a word, best first: backward A* whose rest costs are the forward scores.  Of equal
-    scores the one whose last pieces are longer comes first."""
+    scores the one whose last pieces are longer comes first.
+
+    An entry stands for the segmentations that share its last pieces, and costs what the best of them is short of the best
+    of all.  No two entries share a segmentation, so only as many as are still wanted are kept.  They are listed with the
+    longer last pieces first; an entry's place in the list is taken by those that follow from it, which keeps that order.
+    Each knows the one before it, and its pieces are put together when it arrives at the start.
+    """
     size = len(word)
     code = _code(word)
     ids, scores = pieces.edges(code, np.full(size, size))
-    forward = [0.0] + [-np.inf] * size
-    ways: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
+    # the edges by the place where they end, of each place the longer first
+    row, begin = np.nonzero(scores > -np.inf)
+    order = np.lexsort((-row, begin + row))
+    row, begin = row[order], begin[order]
+    step, piece, start = scores[row, begin].tolist(), ids[row, begin].tolist(), begin.tolist()
+    first = np.searchsorted(begin + row + 1, np.arange(size + 2)).tolist()
+    forward = [0.0]
     for j in range(1, size + 1):
-        for length in range(min(LONGEST, j), 0, -1):
-            step = float(scores[length - 1, j - length])
-            if step > -np.inf:
-                ways[j].append((length, int(ids[length - 1, j - length]), step))
-                forward[j] = max(forward[j], forward[j - length] + step)
+        forward.append(max([forward[start[e]] + step[e] for e in range(first[j], first[j + 1])]))
     found: list[tuple[float, list[int]]] = []
-    # (-(rest + tail), lengths of the tail with the longer first, place, score of the tail)
-    heap: list[tuple] = [(-forward[size], (), size, 0.0, ())]
-    while heap and len(found) < n:
-        _, order, at, tail, path = heapq.heappop(heap)
+    # (cost, place, score of the tail, (edge, the same of the entry before))
+    entries: list[tuple] = [(0.0, size, 0.0, None)]
+    while entries and len(found) < n:
+        costs = [x[0] for x in entries]
+        k = costs.index(min(costs))  # of equal costs the first
+        cost, at, tail, path = entries[k]
         if not at:
+            del entries[k]
             done: list[int] = []
-            for place, piece in reversed(path):
-                if piece >= 0:
-                    done.append(piece)
+            while path:
+                edge, path = path
+                if piece[edge] >= 0:
+                    done.append(piece[edge])
                 else:
-                    done.extend(pieces.bytes[list(word[place].encode("utf-8", "surrogatepass"))].tolist())
+                    done.extend(pieces.bytes[list(word[start[edge]].encode("utf-8", "surrogatepass"))].tolist())
             found.append((tail, done))
             continue
-        for length, piece, step in ways[at]:
-            rest = forward[at - length]
-            if rest > -np.inf:
-                heapq.heappush(heap, (-(rest + step + tail), (*order, -length), at - length, step + tail, (*path, (at - length, piece))))
+        here = forward[at]
+        entries[k : k + 1] = [
+            (cost + (here - (forward[start[e]] + step[e])), start[e], step[e] + tail, (e, path)) for e in range(first[at], first[at + 1])
+        ]
+        wanted = n - len(found)
+        if len(entries) > wanted:
+            costs = [x[0] for x in entries]
+            entries = [entries[x] for x in sorted(sorted(range(len(costs)), key=costs.__getitem__)[:wanted])]
     return found
 
 
@@ -264,7 +280,8 @@ class Segmenter:
         combined: list[tuple[float, list[tuple[int, int]]]] = [(0.0, [])]
         choices = {}
         for k in close.tolist():
-            choices[k] = found = self.again(raw[start[k] : end[k]].decode("utf-8", "surrogatepass"))
+            word = raw[start[k] : end[k]].decode("utf-8", "surrogatepass")
+            choices[k] = found = self.again(word) if len(word) <= CACHED_LENGTH else n_best(word, self.n, self.pieces)
             more = [(c + x[0] - found[0][0], [*e, (k, r)] if r else e) for c, e in combined for r, x in enumerate(found)]
             combined = sorted(more, key=lambda x: (-x[0], x[1]))[: self.n]
         return [

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -223,6 +224,23 @@ def test_segmentations_equal_brute_force():
         assert found[0][1] == ids and all((s, i) in every for s, i in found)
 
 
+def test_long_runs_take_memory_in_proportion():
+    model, random_ = pieces.vocabulary(queries.PIECES), random.Random(5)
+    base64_like = "".join(random_.choices("ABCDEFGHabcdefghijklmnop0123456789+/", k=200_000))
+    for short in (base64_like[:2000], "long" * 500):
+        (ids,), score, second = pieces.best([f" {short}"], model)
+        found = pieces.n_best(f" {short}", 4, model)
+        assert found[0] == (pytest.approx(score[0]), ids) and found[1][0] == pytest.approx(second[0])
+    for run in (base64_like, "long" * 50_000):
+        tracemalloc.start()
+        found = pieces.n_best(f" {run}", 4, model)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 500e6
+        assert len({tuple(ids) for _, ids in found}) == 4 and sorted(found, key=lambda x: -x[0]) == found
+        assert all(pieces.decode(ids, queries.PIECES) == run for _, ids in found)
+
+
 def test_segmented_texts_decode_and_have_the_best_alternatives(spark):
     model, short = pieces.vocabulary(queries.PIECES), ["is at", "a of b", " x yz", "to a\n"]
     rows = [(k, t) for k, t in enumerate([*short, *AWKWARD, None])] + [(None, "x"), (0, short[0])]
