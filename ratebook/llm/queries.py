@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .hard_negatives import hard_negatives
 from .language_id import language_id
+from .merkle import merkle_manifest, proof
 from .near_dedup import near_duplicates
+from .oracles import ORACLES
 from .pieces import segment
 from .quality_model import quality
 from .quality_rules import quality_rules
 from .substring_dedup import substring_duplicates
 from .token_index import ids_folder, read_ids, write_ids
 from .token_rollup import Rollup, deltas, token_counts
+from .topk import top_k
 from .warc import pages_from, read_archives, write_archives
 from .work import staged, work_dir
 
@@ -27,6 +31,8 @@ BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
 PIECES = os.path.join(TOKENIZERS, "piece_bpe_32k.model")
 END_ID = 2
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -99,6 +105,26 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment(_documents(spark, sf_dir), PIECES)
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_embeddings(spark, sf_dir).withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    return merkle_manifest(_documents(spark, sf_dir), tampered).select(
+        "doc_id", "leaf", "subroot", "root", proof(F.col("witness")).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_token_index": op2_token_index,
@@ -110,5 +136,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_pieces": op10_pieces,
+    "op11_topk": op11_topk,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES: dict[str, str] = {}
