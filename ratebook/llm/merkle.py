@@ -102,8 +102,9 @@ def leaf_of(columns: Sequence[Column]) -> Column:
 
 
 def numbered(df: DataFrame, tree: str, order: Sequence[str], name: str) -> DataFrame:
-    """``df`` with ``at``, the place of each row in its ``tree`` (a string, not null) by ``order``, nulls first; rows that
-    are equal in it are in any order.  A tree may be as large as it likes: its rows are in order over several tasks."""
+    """``df`` with ``at``, the place of each row in its ``tree`` (a string, not null) by ``order``, nulls first, and ``size``,
+    the rows of the tree; rows that are equal in the order are in any.  A tree may be as large as it likes: its rows are in
+    order over several tasks."""
     keys = [F.col(tree), *[F.col(c).asc_nulls_first() for c in order], F.col("_row")]
     whole = df.withColumn("_row", F.monotonically_increasing_id())
     spread = whole.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row")
@@ -111,15 +112,16 @@ def numbered(df: DataFrame, tree: str, order: Sequence[str], name: str) -> DataF
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     parts = placed.groupBy(tree, "_part").agg(F.min("_at").alias("_from"), F.count("*").alias("_rows"))
     before = F.sum("_rows").over(Window.partitionBy(tree).orderBy("_part")) - F.col("_rows")
-    parts = parts.withColumn("_shift", before - F.col("_from")).select(tree, "_part", "_shift")
+    size = F.sum("_rows").over(Window.partitionBy(tree))
+    parts = parts.select(tree, "_part", (before - F.col("_from")).alias("_shift"), size.alias("size"))
     return placed.join(parts, [tree, "_part"]).withColumn("at", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
 def witnesses(leaves: DataFrame, name: str = "tree", height: int = HEIGHT, arity: int = ARITY) -> DataFrame:
-    """(tree, at, leaf, witness, root) of (tree, at, leaf), where ``at`` counts the leaves of a tree from 0."""
+    """(tree, at, leaf, witness, root) of (tree, at, size, leaf), where ``at`` counts the ``size`` leaves of a tree from 0.
+    Leaves are dealt out by tree and block, so a large tree is as many tasks as it has blocks."""
     span = arity**height
-    sizes = leaves.groupBy("tree").agg(F.count("*").alias("size"))
-    whole = leaves.join(sizes, "tree").withColumn("block", F.floor(F.col("at") / F.lit(span)))
+    whole = leaves.withColumn("block", F.expr(f"at div {span}"))
 
     def append(table: pa.Table) -> pa.Table:
         table = table.sort_by("at")
@@ -133,12 +135,14 @@ def witnesses(leaves: DataFrame, name: str = "tree", height: int = HEIGHT, arity
         return kept.append_column("below", pa.array(rows, kind)).append_column("top", pa.array([root] * len(rows), pa.string()))
 
     schema = f"tree string, at long, leaf string, size long, block long, below {WITNESS}, top string"
-    done = whole.select("tree", "at", "leaf", "size", "block").groupBy("tree", "block").applyInArrow(append, schema)
+    dealt = whole.select("tree", "at", "leaf", "size", "block").repartition("tree", "block")
+    done = dealt.groupBy("tree", "block").applyInArrow(append, schema)
     done = staged(done, f"{name}-blocks")
     if done.filter(F.col("size") > span).isEmpty():
         return done.select("tree", "at", "leaf", F.col("below").alias("witness"), F.col("top").alias("root"))
     tops = done.filter((F.col("at") % span == 0) & (F.col("size") > span))
-    above = witnesses(tops.select("tree", F.col("block").alias("at"), F.col("top").alias("leaf")), name, height, arity)
+    fewer = F.expr(f"(size + {span - 1}) div {span}").alias("size")
+    above = witnesses(tops.select("tree", F.col("block").alias("at"), fewer, F.col("top").alias("leaf")), name, height, arity)
     above = above.select("tree", F.col("at").alias("block"), F.col("witness").alias("above"), "root")
     rest = F.coalesce("above", F.array().cast(WITNESS))
     return done.join(above, ["tree", "block"], "left").select(
@@ -175,11 +179,11 @@ def merkle_manifest(
         F.when(changed.isNotNull(), other).alias("other"),
     )
     placed = staged(numbered(staged(leaves, "leaves"), "tree", ["id", "leaf"], "leaves"), "leaves-numbered")
-    own = witnesses(placed.select("tree", "at", "leaf"), "leaves", height)
+    own = witnesses(placed.select("tree", "at", "size", "leaf"), "leaves", height)
 
     subroots = own.filter("at = 0").select(F.col("tree").alias("name"), F.col("root").alias("leaf"), F.lit("all").alias("tree"))
     sources = staged(numbered(subroots, "tree", ["name"], "sources"), "sources-numbered")
-    upper = witnesses(sources.select("tree", "at", "leaf"), "sources", height)
+    upper = witnesses(sources.select("tree", "at", "size", "leaf"), "sources", height)
     above = sources.select("at", F.col("name").alias("tree")).join(
         upper.select("at", F.col("leaf").alias("subroot"), F.col("witness").alias("above"), F.col("root").alias("all_root")), "at"
     )

@@ -179,8 +179,8 @@ def test_partial_witnesses_grow_with_later_siblings():
 
 @pytest.mark.parametrize("sizes", [(1, 2, 3), (9, 10, 81), (82, 8, 250)])
 def test_witnesses_over_blocks(spark, sizes):
-    rows = [(f"t{t}", k, h(f"{t}-{k}")) for t, n in enumerate(sizes) for k in range(n)]
-    got = witnesses(spark.createDataFrame(random.sample(rows, len(rows)), "tree string, at long, leaf string"), height=2).collect()
+    rows = [(f"t{t}", k, n, h(f"{t}-{k}")) for t, n in enumerate(sizes) for k in range(n)]
+    got = witnesses(spark.createDataFrame(random.sample(rows, len(rows)), "tree string, at long, size long, leaf string"), height=2).collect()
     assert len(got) == len(rows)
     trees = {f"t{t}": levels([h(f"{t}-{k}") for k in range(n)]) for t, n in enumerate(sizes)}
     for row in got:
@@ -195,6 +195,7 @@ def test_numbered_in_several_partitions(spark):
     got = numbered(df, "tree", ["x"], "test").collect()
     for tree in {t for t, _ in rows}:
         mine = sorted((r["at"], r.x) for r in got if r.tree == tree)
+        assert {r["size"] for r in got if r.tree == tree} == {len(mine)}
         want = sorted((x for t, x in rows if t == tree), key=lambda x: (x is not None, x or 0))
         assert mine == list(enumerate(want))
 
