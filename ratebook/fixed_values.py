@@ -189,6 +189,8 @@ FACILITY_ACCEPT = {"combined": 85.0, "name": 80.0, "address": 80.0, "gap": 10.0}
 CAMPUS_WEIGHTS = {"address": 0.75, "name": 0.25}
 CAMPUS_ACCEPT = {"combined": 85.0, "address": 80.0, "name": 55.0, "gap": 8.0}
 CANDIDATES_KEPT = 3
+# the edit score of texts with their words in order counts so much of that of texts as they are
+WORD_ORDER_DISCOUNT = 0.95
 
 # --- models ---------------------------------------------------------------------------------------
 

@@ -87,7 +87,7 @@ def located_pieces(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     )
 
 
-def _section_bounds(pieces: DataFrame, section: str) -> DataFrame:
+def section_bounds(pieces: DataFrame, section: str = SECTION) -> DataFrame:
     """Per file the first and last piece of the section (a file without elements in it has no row)."""
     marker = F.col("text").rlike(f'"{section}"\\s*:\\s*\\[(?!\\s*\\])')
     closes = (F.col("depth") == 2) & F.col("text").rlike(r"^\s*\]")
@@ -117,7 +117,7 @@ def scan_array_elements(
     at = F.struct("block", "seq")
     marker = f'(?s)^.*"{section}"\\s*:\\s*\\['
     inside = (
-        pieces.join(_section_bounds(pieces, section), "source_file")
+        pieces.join(section_bounds(pieces, section), "source_file")
         .filter((at >= F.col("first_at")) & (F.col("last_at").isNull() | (at < F.col("last_at"))))
         .withColumn("closes", (~F.col("in_string_after") & (F.col("depth_after") == 2)).cast("long"))
         .withColumn(
@@ -181,7 +181,7 @@ def nested_file_metadata(
     at = F.struct("block", "seq")
     marker = f'(?s)("{SECTION}"\\s*:\\s*\\[).*$'
     outside = (
-        pieces.join(_section_bounds(pieces, SECTION), "source_file", "left")
+        pieces.join(section_bounds(pieces, SECTION), "source_file", "left")
         .filter(F.col("first_at").isNull() | (at <= F.col("first_at")) | (at >= F.col("last_at")))
         .filter("depth > 0 or depth_after >= 0")  # not the blank end of the file
         .withColumn("text", F.when(at == F.col("first_at"), F.regexp_replace("text", marker, "$1"))
