@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from ratebook.operators import models as L
+from ratebook.operators import moments as M
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +81,69 @@ def test_forest_importances_sum_to_one(frame):
     model = L.Forest(numTrees=5).fit(frame, ["family", "category"], "y")
     table = L.importance_table(frame, model).collect()
     assert len(table) == 5 and abs(sum(r.importance for r in table) - 1) < 1e-9
+
+
+# --- additive moments ---------------------------------------------------------------------------------
+
+
+def _predict(train, rows, features, target="y", alpha=1.0):
+    """Ridge by the closed form with the categories of ``train``."""
+    used = [(f, v) for f in features for v in sorted({r[f] for r in train})[1:]]
+    design = lambda rs: np.array([[float(r[f] == v) for f, v in used] for r in rs]).reshape(len(rs), len(used))
+    x, y = design(train), np.array([r[target] for r in train])
+    xc, yc = x - x.mean(0), y - y.mean()
+    w = np.linalg.solve(xc.T @ xc + alpha * np.eye(len(used)), xc.T @ yc) if used else np.zeros(0)
+    return y.mean() + (design(rows) - x.mean(0)) @ w
+
+
+@pytest.mark.parametrize("segment", [[], ["category"]])
+def test_all_folds_in_one_pass_equal_a_fit_each(spark, frame, segment):
+    rare = spark.createDataFrame([("g1", "Z", "Commercial", 3.0), ("alone", "A", "Rare", 1.0), (None, "A", "Medicare", 1.0)], frame.schema)
+    df = frame.unionByName(rare)
+    split = M.segment_folds(df, segment, "g", 4).persist()
+    got = M.out_of_fold(split, ["family", "category"] if not segment else ["family"], "y", segment=segment).collect()
+    rows = split.collect()
+    assert len(got) == len(rows)
+    want = []
+    for s in {tuple(r[c] for c in segment) for r in rows}:
+        own = [r for r in rows if tuple(r[c] for c in segment) == s]
+        for f in {r.fold for r in own}:
+            held = [r for r in own if r.fold == f]
+            made = _predict([r for r in own if r.fold != f], held, ["family", "category"] if not segment else ["family"])
+            want += [(*[r[c] for c in df.columns], p) for r, p in zip(held, made, strict=True)]
+    mine = sorted((*[r[c] for c in df.columns], r.prediction) for r in got)
+    assert [x[:-1] for x in mine] == [x[:-1] for x in sorted(want)]
+    assert np.allclose([x[-1] for x in mine], [x[-1] for x in sorted(want)], atol=1e-8)
+    if segment:
+        assert "Rare" not in {r.category for r in rows}  # one group only
+
+
+def test_moments_equal_mllib(frame):
+    features = ["family", "category"]
+    table = {r.feature: r.coefficient for r in M.ridge_coefficients(frame, features, "y").collect()}
+    model = L.Ridge().fit(frame, features, "y")
+    assert sorted(table) == sorted(n for n, _ in model.weights)
+    assert all(abs(table[n] - w) < 1e-8 for n, w in model.weights)
+
+
+def test_moments_of_disjoint_tables_add_up(frame):
+    features, key = ["family", "category"], ["a", "b"]
+    whole = {(r.a, r.b): r.v for r in M.moments(frame, features, "y", []).collect()}
+    halves = [M.moments(frame.filter(c), features, "y", []) for c in ("y > 0", "y <= 0")]
+    both = halves[0].unionByName(halves[1]).groupBy(*key).sum("v").collect()
+    assert {(r.a, r.b) for r in both} == set(whole)
+    assert all(abs(r["sum(v)"] - whole[r.a, r.b]) < 1e-8 for r in both)
+
+
+def test_segment_folds_equal_grouped_folds(frame):
+    one = {r.g: r.fold for r in L.grouped_folds(frame, "g", 5).select("g", "fold").distinct().collect()}
+    two = {r.g: r.fold for r in M.segment_folds(frame, [], "g", 5).select("g", "fold").distinct().collect()}
+    assert one == two
+
+
+def test_one_category_and_no_rows(spark, frame):
+    same = frame.selectExpr("g", "'A' as family", "y")
+    metrics = M.cross_validated_ridge(same, features=["family"], target="y", group="g").first()
+    assert metrics["rows"] == 160 and metrics["groups"] == 13 and abs(metrics["r2"]) < 0.2
+    assert M.ridge_coefficients(same, ["family"], "y").collect() == []
+    assert M.out_of_fold(M.segment_folds(frame.limit(0), [], "g"), ["family"], "y").collect() == []
