@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.prices import presence_flags, price_representation
 from ..functions.text import pad_id
+from ..sources.sinks import work_dir
 
 PAYERS = {
     "AUTOMOBILE": "Anthem Blue Cross",
@@ -30,8 +31,8 @@ PLANS = {
 }
 CODE_TYPES = {"PROMO": "MS-DRG", "ECONOMY": "HCPCS"}
 
-# three of the five regions play the three systems; labels become column names
-SYSTEMS = {"EUROPE": "europe", "ASIA": "asia", "AMERICA": "america"}
+# every region is a system; labels become column names
+SYSTEMS = {"EUROPE": "europe", "ASIA": "asia", "AMERICA": "america", "AFRICA": "africa", "MIDDLE EAST": "middle_east"}
 PAIR = {"EUROPE": "europe", "ASIA": "asia"}
 
 
@@ -209,5 +210,13 @@ fact AS (
 )"""
 
 
-def system_fact(spark: SparkSession, sf_dir: str, *systems: str) -> DataFrame:
-    return price_fact(spark, sf_dir).filter(F.col("system_name").isin(*(systems or SYSTEMS)))
+def system_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Each system's price rows as a table of its own, as systems publish them: the joined fact is written once."""
+    path = work_dir(spark, "system-facts")
+    fact = price_fact(spark, sf_dir)
+    fact.write.partitionBy("system_name").parquet(path)
+    schema = T.StructType([f for f in fact.schema.fields if f.name != "system_name"])
+    return {
+        name: spark.read.schema(schema).parquet(f"{path}/system_name={name}").withColumn("system_name", F.lit(name))
+        for name in SYSTEMS
+    }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..fixed_values import COMMERCIAL, PAYER_CATEGORY_RULES_RAW, PAYER_FAMILY_RULES, UNCLASSIFIED
 from ..functions import (
     all_codes_json,
     clean_double,
@@ -30,8 +31,8 @@ from ..functions import (
 )
 from ..plans import facilities
 from . import adapters as A
-from .core import register
-from .marts import _CATEGORY_A
+from .core import register, rules_sql
+from .marts import _LINE, _PAYER_TEXT
 
 # --- text and numbers ---------------------------------------------------------------------------------
 
@@ -246,20 +247,11 @@ def representation_modes(spark, sf):
 @register(
     "payer_rules",
     f"""WITH {A.RAW_PRICES_SQL},
-    t AS (SELECT *,
-        regexp_replace(upper(coalesce(payer, '') || ' ' || coalesce(plan, '')), '[^A-Z0-9]+', ' ', 'g') AS txt,
-        upper(coalesce(payer, '') || ' ' || coalesce(plan, '')) AS raw,
-        CASE WHEN upper(payer) LIKE '%ANTHEM%' THEN 'Anthem' WHEN upper(payer) LIKE '%BLUE SHIELD%' THEN 'Blue Shield'
-          WHEN upper(payer) LIKE '%AETNA%' THEN 'Aetna' WHEN upper(payer) LIKE '%CIGNA%' THEN 'Cigna'
-          WHEN regexp_matches(upper(payer), 'UNITEDHEALTHCARE|UHC|UNITED') THEN 'UnitedHealthcare'
-          WHEN upper(payer) LIKE '%HEALTH NET%' THEN 'Health Net' END AS payer_family
+    t AS (SELECT *, {rules_sql(PAYER_FAMILY_RULES, 'upper(payer)')} AS payer_family
       FROM raw_prices JOIN (SELECT facility_id, latitude FROM locations) USING (facility_id))
-    SELECT payer, plan, payer_family, {_CATEGORY_A} AS category_cleaned,
-      CASE WHEN regexp_matches(raw, 'WORKERS COMP|WORKER COMP') THEN 'Workers Compensation'
-        WHEN regexp_matches(raw, 'MEDICAID|MEDI-CAL|MEDI CAL|MEDICAL HMO') THEN 'Medicaid'
-        WHEN regexp_matches(raw, 'MEDICARE') THEN 'Medicare'
-        WHEN regexp_matches(raw, 'TRIWEST|TRICARE|OTHER GOVERNMENT') THEN 'Other Government'
-        WHEN payer_family IS NOT NULL THEN 'Commercial' ELSE 'Other / Unclassified' END AS category_raw,
+    SELECT payer, plan, payer_family, {_LINE} AS category_cleaned,
+      {rules_sql(PAYER_CATEGORY_RULES_RAW, _PAYER_TEXT,
+                 f"CASE WHEN payer_family IS NULL THEN '{UNCLASSIFIED}' ELSE '{COMMERCIAL}' END")} AS category_raw,
       CASE WHEN upper(trim(code_1_type)) = 'MS-DRG' THEN 'inpatient'
         WHEN lower(setting) IN ('inpatient', 'outpatient', 'both') THEN lower(setting) ELSE 'unknown' END
         AS comparison_setting,

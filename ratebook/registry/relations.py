@@ -92,12 +92,9 @@ def flatten_nested(spark, sf):
     f"""WITH {A.FACT_SQL},
     t AS (SELECT code_1_type, code_1, system_name, {MEAN} AS price, COUNT(*) AS n FROM fact
       WHERE negotiated_dollar > 0 GROUP BY ALL)
-    SELECT code_1_type, code_1, MAX(price) FILTER (system_name = 'EUROPE') AS europe_price,
-      MAX(price) FILTER (system_name = 'ASIA') AS asia_price,
-      MAX(price) FILTER (system_name = 'AMERICA') AS america_price,
-      MAX(n) FILTER (system_name = 'EUROPE') AS europe_rows, MAX(n) FILTER (system_name = 'ASIA') AS asia_rows,
-      MAX(n) FILTER (system_name = 'AMERICA') AS america_rows
-    FROM t GROUP BY ALL HAVING europe_price > 0 AND asia_price > 0 AND america_price > 0""",
+    SELECT code_1_type, code_1,
+      {', '.join(f"MAX({c}) FILTER (system_name = '{s}') AS {x}_{n}" for s, x in A.SYSTEMS.items() for c, n in (('price', 'price'), ('n', 'rows')))}
+    FROM t GROUP BY ALL HAVING COUNT(*) FILTER (price > 0) = {len(A.SYSTEMS)}""",
 )
 def conditional_pivot(spark, sf):
     keys = ["code_1_type", "code_1"]
