@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textops import LOWER, NOT_ALNUM, Sequences, U, Words, blocks, bounded_batches, longs
-from .work import by_batch, keep_ids, staged
+from .work import by_batch, keep_ids, one_text_an_id, staged
 
 WINDOW, SHINGLE, SHARD_BYTES = 10, 3, 8 << 20
 
@@ -200,6 +200,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         names = docs.sparkSession.createDataFrame(names, schema)
         part = staged(hits, "hits").join(F.broadcast(names), "window").select("id", "start", "length", "item")
         found = part if found is None else found.unionByName(part)
+        sent.destroy()  # the hits are written
+        index.destroy()
     return docs.sparkSession.createDataFrame([], "id long, start long, length long, item string") if found is None else found
 
 
@@ -222,8 +224,16 @@ def contamination(
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``.
 
     Null texts have no words, items without words have no windows, items without an id are left out.  Rows without an id
-    are not compared; rows that repeat an id should repeat the text.
+    are not compared; different texts of an id are documents of their own.
     """
+    docs = docs.select(id_column, text_column)
+    placed = one_text_an_id(docs, id_column, text_column)
+    if placed is not None:
+        docs, place = placed
+        names = docs.select(place, F.col(id_column).cast("long").alias("_of")).filter(F.col(place).isNotNull()).distinct()
+        made = contamination(docs.drop(id_column), benchmark, place, text_column, item_column, item_text, window)
+        made = made.join(names, place, "left")
+        return made.select(F.col("_of").alias(id_column), *[c for c in made.columns if c not in (place, "_of")])
     docs, items = _plain(docs, benchmark, id_column, text_column, item_column, item_text)
     found = occurrences(docs.filter("id is not null"), items, window)
     per = found.groupBy("id").agg(F.collect_set(F.struct("start", "length")).alias("runs"), F.collect_set("item").alias("items"))
@@ -241,7 +251,12 @@ def drop_contaminated(
     item_text: str = "text",
     window: int = WINDOW,
 ) -> DataFrame:
-    """``docs`` without documents that hold a window of an item; all columns as they are."""
+    """``docs`` without documents that hold a window of an item; all columns as they are.  Rows without an id are kept;
+    different texts of an id are documents of their own."""
+    placed = one_text_an_id(docs, id_column, text_column)
+    if placed is not None:
+        kept = drop_contaminated(placed[0], benchmark, placed[1], text_column, item_column, item_text, window)
+        return kept.select(*docs.columns)
     plain, items = _plain(docs, benchmark, id_column, text_column, item_column, item_text)
     found = occurrences(plain.filter("id is not null"), items, window)
     ids = staged(found.select(F.col("id").alias(id_column)).distinct(), "contaminated")

@@ -13,11 +13,11 @@ import hashlib
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textops import bounded_batches
-from .work import staged
+from .work import numbered, staged
 
 ARITY = 3
 #: Height of a block, and its leaves.
@@ -101,22 +101,6 @@ def leaf_of(columns: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
 
 
-def numbered(df: DataFrame, tree: str, order: Sequence[str], name: str) -> DataFrame:
-    """``df`` with ``at``, the place of each row in its ``tree`` (a string, not null) by ``order``, nulls first, and ``size``,
-    the rows of the tree; rows that are equal in the order are in any.  A tree may be as large as it likes: its rows are in
-    order over several tasks."""
-    keys = [F.col(tree), *[F.col(c).asc_nulls_first() for c in order], F.col("_row")]
-    whole = df.withColumn("_row", F.monotonically_increasing_id())
-    spread = whole.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row")
-    placed = staged(spread.withColumn("_at", F.monotonically_increasing_id()), f"{name}-sorted")
-    placed = placed.withColumn("_part", F.shiftright("_at", 33))
-    parts = placed.groupBy(tree, "_part").agg(F.min("_at").alias("_from"), F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(Window.partitionBy(tree).orderBy("_part")) - F.col("_rows")
-    size = F.sum("_rows").over(Window.partitionBy(tree))
-    parts = parts.select(tree, "_part", (before - F.col("_from")).alias("_shift"), size.alias("size"))
-    return placed.join(parts, [tree, "_part"]).withColumn("at", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
-
-
 def witnesses(leaves: DataFrame, name: str = "tree", height: int = HEIGHT, arity: int = ARITY) -> DataFrame:
     """(tree, at, leaf, witness, root) of (tree, at, size, leaf), where ``at`` counts the ``size`` leaves of a tree from 0.
     Leaves are dealt out by tree and block, so a large tree is as many tasks as it has blocks."""

@@ -16,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .textops import LOWER, SPACE, Sequences, U, Words, blocks, bounded_batches, distinct, lists, longs, mix
-from .work import by_batch, keep_ids, staged
+from .work import fresh, by_batch, keep_ids, one_text_an_id, staged
 
 SHINGLE, SIMILARITY = 5, (75, 100)
 TOKENS, TREES, BRANCHES, NODE, MAX_DEPTH = 40, 10, 3, 256, 4
@@ -251,8 +251,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Texts without words and null texts have n_shingles 0 and are linked with nothing; null ids have a null component and
-    are not kept.  Rows that repeat an id share its component.  Other columns are not looked at.
+    are not kept.  Rows that repeat an id and text share its component; different texts of an id are documents of their
+    own.  Other columns are not looked at.
     """
+    docs = docs.select(id_column, text_column)
+    placed = one_text_an_id(docs, id_column, text_column)
+    if placed is None:
+        return _near_duplicates(docs, id_column, text_column)
+    docs, place = placed
+    names = docs.select(place, F.col(id_column).cast("long").alias("_of")).filter(F.col(place).isNotNull()).distinct()
+    names = staged(names, "place-names")
+    found = _near_duplicates(docs.drop(id_column), place, text_column)
+    own = found.join(names.withColumnRenamed("_of", id_column), place, "left")
+    roots = names.select(F.col(place).alias("component_id"), F.col("_of").alias("_root"))
+    return own.join(roots, "component_id", "left").select(id_column, "n_shingles", F.col("_root").alias("component_id"), "kept")
+
+
+def _near_duplicates(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of documents whose ids have one text each."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
@@ -322,7 +338,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each component, all columns as they are; repeated rows of an id become one row, and rows without
-    an id are left out (nothing can refer to them)."""
-    found = near_duplicates(docs, id_column, text_column).filter("kept").select(id_column).distinct()
-    return docs.join(found, id_column, "left_semi").dropDuplicates([id_column])
+    """One document of each component, all columns as they are; rows that repeat an id and text become one row (the one
+    of the smallest hash of all columns), different texts of an id are documents of their own, and rows without an id,
+    which nothing can refer to, stay as they are."""
+    whole, key = one_text_an_id(docs, id_column, text_column) or (docs, id_column)
+    own, first = fresh(whole, "_kept"), fresh(whole, "_first")
+    found = _near_duplicates(whole.select(key, text_column), key, text_column).filter("kept").select(F.col(key).alias(own)).distinct()
+    kept = whole.filter(F.col(key).isNotNull()).join(found, F.col(key) == F.col(own), "left_semi")
+    order = F.xxhash64(*[F.col(c) for c in docs.columns])
+    one = kept.withColumn(first, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(first) == 1)
+    return one.select(*docs.columns).unionByName(docs.filter(F.col(id_column).isNull()))

@@ -14,14 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import U, blocks, bounded_batches, inverse, mix, powers, span_hashes
+from .textops import U, blocks, bounded_batches, span_hashes
 from .work import by_batch
 
 N, LONGEST = 4, 16
@@ -29,7 +29,7 @@ SPACE_MARK, LITERAL_MARK = 0x2581, 0x110000
 CACHED_WORDS = 300_000
 #: Characters of a word whose segmentations are remembered; longer ones are found anew.
 CACHED_LENGTH = 1000
-_BASE = 0x9E3779B97F4A7C15
+CODE_BITS = 21
 SCHEMA = (
     "id long, ids array<int>, n_pieces long, score double, round_trip boolean, "
     "others array<struct<score: double, edits: array<struct<at: int, n: int, ids: array<int>>>>>"
@@ -37,7 +37,7 @@ SCHEMA = (
 
 
 class Vocabulary:
-    """Pieces with scores, as sorted hashes of their code points."""
+    """Pieces with scores, as a trie of their code points: its edges are sorted numbers of (node, code point)."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -61,45 +61,52 @@ class Vocabulary:
         if (self.bytes < 0).any():
             raise ValueError("the vocabulary has no byte pieces")
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - 10
-        names = [np.array([ord(c) for c in p], U) for p in self.pieces]
-        hashes = np.array([self._hash(c) for c in names], U)
-        order = np.argsort(hashes)
-        found = list(self.pieces.values())
-        self.hash = hashes[order]
-        if (self.hash[1:] == self.hash[:-1]).any():
-            raise ValueError("pieces collide")
-        self.id = np.array([found[k][0] for k in order], np.int32)
-        self.score = np.array([found[k][1] for k in order])
+        nodes: dict[tuple[int, int], int] = {}
+        ends: dict[int, tuple[int, float]] = {}
+        for name, found in self.pieces.items():
+            node = 0
+            for c in name:
+                node = nodes.setdefault((node, ord(c)), len(nodes) + 1)
+            ends[node] = found
+        steps = sorted((node << CODE_BITS | c, to) for (node, c), to in nodes.items())
+        self.step, self.to = (np.array(x, np.int64) for x in zip(*steps, strict=True))
+        self.id, self.score = np.full(len(nodes) + 1, -1, np.int32), np.full(len(nodes) + 1, -np.inf)
+        for node, (k, score) in ends.items():
+            self.id[node], self.score[node] = k, score
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.array([len(x) for x in raw])
         self.raw_first = np.cumsum(self.raw_size) - self.raw_size
         self.text = raw
 
-    @staticmethod
-    def _hash(code: np.ndarray) -> int:
-        value = (mix(code) * powers(_BASE, len(code))).sum(dtype=U)
-        return mix(np.array([value + U(len(code))], U))[0]
-
     def edges(self, code: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the piece of each length 1 .. LONGEST at each place; ``last`` is the end of the place's
         word.  Id -1 stands for bytes; a score of -inf for no edge."""
         n = len(code)
-        total = np.zeros(n + 1, U)
-        np.cumsum(mix(code) * powers(_BASE, n), out=total[1:])
-        back = powers(inverse(_BASE), n + 1)
         ids, scores = np.full((LONGEST, n), -1, np.int32), np.full((LONGEST, n), -np.inf)
+        # the first step by distinct characters, the others for the places that are still in the trie
+        distinct, where = np.unique(code, return_inverse=True)
+        at = np.arange(n)
+        node = self._next(np.zeros(len(distinct), np.int64), distinct)[where]
         for length in range(1, min(LONGEST, n) + 1):
-            at = np.flatnonzero(np.arange(n) + length <= last)
-            key = mix((total[at + length] - total[at]) * back[at] + U(length))
-            place = np.searchsorted(self.hash, key)
-            place[place == len(self.hash)] = 0
-            hit = self.hash[place] == key
-            ids[length - 1, at[hit]] = self.id[place[hit]]
-            scores[length - 1, at[hit]] = self.score[place[hit]]
-        alone = ids[0] < 0
-        scores[0, alone] = self.unknown
+            if length > 1:
+                inside = at + length <= last[at]
+                at, node = at[inside], node[inside]
+                node = self._next(node, code[at + length - 1])
+            alive = node > 0
+            at, node = at[alive], node[alive]
+            if not len(at):
+                break
+            ids[length - 1, at], scores[length - 1, at] = self.id[node], self.score[node]
+        scores[0, ids[0] < 0] = self.unknown
         return ids, scores
 
+    def _next(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The node behind each, 0 where there is none."""
+        key = node << CODE_BITS | code
+        place = np.searchsorted(self.step, key)
+        place[place == len(self.step)] = 0
+        return np.where(self.step[place] == key, self.to[place], 0)
+
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, bounds) of the texts whose ids are ids[first[i]:first[i + 1]], with the space before the first word."""
         size = self.raw_size[ids]
@@ -114,15 +121,16 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _code(text: str) -> np.ndarray:
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     code[code == SPACE_MARK] = LITERAL_MARK  # what stands for a space is never a character of the text
     code[code == 32] = SPACE_MARK
     return code
 
 
-def best(words: list[str], pieces: Vocabulary) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-    """(ids, score, score of the second-best segmentation or -inf) of each word; of equal scores the longer last piece."""
-    out: list[list[int]] = [[] for _ in words]
+def best(words: list[str], pieces: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all words, their numbers, score, score of the second-best segmentation or -inf) of each word; of equal
+    scores the longer last piece."""
+    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (word, id, character), the last piece of a word first
     score, second = np.zeros(len(words)), np.full(len(words), -np.inf)
     sizes = np.array([len(w) for w in words])
     order = np.argsort(sizes, kind="stable")
@@ -139,13 +147,14 @@ def best(words: list[str], pieces: Vocabulary) -> tuple[list[list[int]], np.ndar
         code = _code("".join(words[k] for k in own))
         ids, scores = pieces.edges(code, np.repeat(ends, size))
         width = int(size.max())
+        longest_piece = 1 + int(np.flatnonzero((scores > -np.inf).any(1)).max(initial=0))
         one, two = np.full((width + 1, len(own)), -np.inf), np.full((width + 1, len(own)), -np.inf)
         chosen = np.zeros((width + 1, len(own)), np.int8)
         one[0] = 0
         for j in range(1, width + 1):
             live = np.flatnonzero(size >= j)
             a, b, c = np.full(len(live), -np.inf), np.full(len(live), -np.inf), np.zeros(len(live), np.int8)
-            for length in range(min(LONGEST, j), 0, -1):
+            for length in range(min(longest_piece, j), 0, -1):
                 step = scores[length - 1, first[live] + j - length]
                 x = one[j - length, live] + step
                 b = np.maximum(np.maximum(b, np.minimum(a, x)), two[j - length, live] + step)
@@ -158,14 +167,26 @@ def best(words: list[str], pieces: Vocabulary) -> tuple[list[list[int]], np.ndar
         while (left := np.flatnonzero(at > 0)).size:
             length = chosen[at[left], left].astype(int)
             at[left] -= length
-            for k, p, place in zip(left.tolist(), ids[length - 1, first[left] + at[left]].tolist(), at[left].tolist(), strict=True):
-                if p >= 0:
-                    out[own[k]].append(p)
-                else:
-                    out[own[k]].extend(pieces.bytes[list(words[own[k]][place].encode("utf-8", "surrogatepass"))][::-1].tolist())
-    for ids_ in out:
-        ids_.reverse()
-    return out, score, second
+            place = first[left] + at[left]
+            steps.append((own[left], ids[length - 1, place], code[place]))
+    if not steps:
+        return np.empty(0, np.int32), np.zeros(len(words), np.int64), score, second
+    word, ids, code = (np.concatenate(x)[::-1] for x in zip(*steps, strict=True))
+    order = np.argsort(word, kind="stable")
+    word, ids, code = word[order], ids[order], code[order]
+    # a character without a piece is as many byte pieces as it has bytes
+    many = np.ones(len(ids), np.int64)
+    raw = np.flatnonzero(ids < 0)
+    spelt = [pieces.bytes[list(_char(c).encode("utf-8", "surrogatepass"))] for c in code[raw].tolist()]
+    many[raw] = [len(x) for x in spelt]
+    flat = np.repeat(ids, many)
+    if spelt:
+        flat[flat < 0] = np.concatenate(spelt)
+    return flat, np.bincount(word, many, len(words)).astype(np.int64), score, second
+
+
+def _char(code: int) -> str:
+    return chr(SPACE_MARK) if code == LITERAL_MARK else " " if code == SPACE_MARK else chr(code)
 
 
 def n_best(word: str, n: int, pieces: Vocabulary) -> list[tuple[float, list[int]]]:
@@ -230,19 +251,54 @@ class Segmenter:
         self.hash, self.at = np.empty(0, U), np.empty(0, np.int64)
         self.first, self.ids = np.zeros(1, np.int64), np.empty(0, np.int32)
         self.score, self.second = np.empty(0), np.empty(0)
+        self.met = np.empty(0, bool)
+
+    def _trim(self) -> None:
+        """Keep the words that were met again since the last time, if that leaves room for others."""
+        keep = self.met[self.at]
+        if 2 * int(keep.sum()) > CACHED_WORDS:
+            self._forget()
+            return
+        self.hash, old = self.hash[keep], self.at[keep]
+        self.ids, size = self._ids(old)
+        self.first, self.at = np.concatenate([[0], np.cumsum(size)]), np.arange(len(old))
+        self.score, self.second, self.met = self.score[old], self.second[old], np.zeros(len(old), bool)
+
+    def _ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of them) of the words at these places."""
+        size = (self.first[1:] - self.first[:-1])[place]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.first[place] - (ends - size), size)], size
 
     def _learn(self, part: np.ndarray, words: list[str]) -> None:
-        ids, score, second = best(words, self.pieces)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = np.arange(len(ids)) + len(self.first) - 1
+        ids, size, score, second = best(words, self.pieces)
+        at = np.arange(len(size)) + len(self.first) - 1
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         self.score, self.second = np.concatenate([self.score, score]), np.concatenate([self.second, second])
+        self.met = np.concatenate([self.met, np.zeros(len(size), bool)])
         place = np.searchsorted(self.hash, part)  # both are in order
         self.hash, self.at = np.insert(self.hash, place, part), np.insert(self.at, place, at)
 
+    def _known(self, part: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for one that is not remembered."""
+        place = np.full(len(part), -1, np.int64)
+        if len(self.hash):
+            at = np.searchsorted(self.hash, part)
+            at[at == len(self.hash)] = 0
+            hit = self.hash[at] == part
+            place[hit] = self.at[at[hit]]
+            self.met[place[hit]] = True
+        return place
+
     def block(self, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-        """Columns of SCHEMA but the id."""
+        """Columns of SCHEMA but the id.  Words are told apart by their hashes; where the ids do not give a text back, two
+        of them had the same one, and the block is done again by the words themselves."""
+        made = self._block(data, bounds, False)
+        return made if pc.all(made.column(3)).as_py() is not False else self._block(data, bounds, True)
+
+    def _block(self, data: np.ndarray, bounds: np.ndarray, exact: bool) -> pa.RecordBatch:
         full = np.flatnonzero(np.diff(bounds) > 0)
         spaced = np.insert(data, bounds[full], 32)  # each text gets the space that its first word begins with
         limits = bounds + np.searchsorted(full, np.arange(len(bounds)))
@@ -254,18 +310,28 @@ class Segmenter:
         if not len(start):
             return self._columns(np.empty(0, np.int32), np.zeros(len(bounds), int), np.zeros(len(full)), data, bounds, [], full)
         end = np.append(start[1:], len(spaced))
-        part, sample, where = np.unique(span_hashes(spaced, start, end), return_index=True, return_inverse=True)
         raw = spaced.tobytes()
-        if len(self.hash) > CACHED_WORDS:
+        if exact:
+            known: dict[bytes, int] = {}
+            where = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
             self._forget()
-        missing = np.flatnonzero(~np.isin(part, self.hash))
-        if len(missing):
-            self._learn(part[missing], [raw[start[k] : end[k]].decode("utf-8", "surrogatepass") for k in sample[missing]])
-        place = self.at[np.searchsorted(self.hash, part)][where]
-        size = np.diff(self.first)[place]
+            self._learn(np.arange(len(known), dtype=U), [x.decode("utf-8", "surrogatepass") for x in known])
+            place = where
+        else:
+            part, sample, where = np.unique(span_hashes(spaced, start, end), return_index=True, return_inverse=True)
+            if len(self.hash) > CACHED_WORDS:
+                self._trim()
+            place = self._known(part)
+            missing = np.flatnonzero(place < 0)
+            if len(missing):
+                place[missing] = len(self.first) - 1 + np.arange(len(missing))
+                self._learn(part[missing], [raw[start[k] : end[k]].decode("utf-8", "surrogatepass") for k in sample[missing].tolist()])
+            place = place[where]
+        ids, size = self._ids(place)
         ends = np.cumsum(size)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[place] - (ends - size), size)]
         score, gap = self.score[place], (self.score - self.second)[place]
+        if exact:
+            self._forget()  # what was learnt here stands for no hash
         begin = np.concatenate([[0], ends])
         others = []
         for d in full.tolist():

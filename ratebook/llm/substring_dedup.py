@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textops import SPACE, Sequences, U, Words, blocks, bounded_batches, lists, longs
-from .work import by_batch, keep_ids, staged
+from .work import fresh, by_batch, keep_ids, one_text_an_id, staged
 
 WINDOW, GRAM, SHARED, SHARDS = 20, 10, 256, 64
 _PLACE = U((1 << 28) - 1)
@@ -313,17 +313,29 @@ def substring_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     """(id, n_words, n_removed, kept_sha256) for each row of ``docs``.
 
     Null texts have no words; texts shorter than a window lose nothing.  Rows without an id are not compared and keep
-    all words.  Rows that repeat an id and text are one place, not copies of each other.
+    all words.  Rows that repeat an id and text are one place, not copies of each other; different texts of an id are
+    documents of their own, in the order of their digests.
     """
-    found = _joined(docs, id_column, text_column, False, window)
-    return found.withColumnsRenamed({"id": id_column, "kept": "kept_sha256"})
+    docs = docs.select(id_column, text_column)
+    placed = one_text_an_id(docs, id_column, text_column)
+    if placed is None:
+        found = _joined(docs, id_column, text_column, False, window)
+    else:
+        docs, place = placed
+        names = docs.select(F.col(place).alias("id"), F.col(id_column).cast("long").alias("_of")).filter("id is not null").distinct()
+        found = _joined(docs, place, text_column, False, window).join(names, "id", "left").drop("id").withColumnRenamed("_of", "id")
+    return found.select(F.col("id").alias(id_column), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def remove_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages cut out of the text (its other words joined by one space); texts that lose nothing
     stay as they are, texts that lose all words are dropped.  All columns of ``docs`` are returned."""
+    columns, placed = docs.columns, one_text_an_id(docs, id_column, text_column)
+    if placed is not None:
+        docs, id_column = placed
+    own, kept = fresh(docs, "_id"), fresh(docs, "_kept")
     cut = _joined(docs, id_column, text_column, True, window).filter("n_removed > 0")
-    cut = staged(cut.select(F.col("id").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"]), "cut")
-    out = docs.join(cut, F.col(id_column) == F.col("_id"), "left").filter("_kept is null or _kept <> ''")
-    text = F.coalesce(F.col("_kept"), F.col(text_column))
-    return out.select(*[text.alias(c) if c == text_column else F.col(c) for c in docs.columns])
+    cut = staged(cut.select(F.col("id").alias(own), F.col("kept").alias(kept)).dropDuplicates([own]), "cut")
+    out = docs.join(cut, F.col(id_column) == F.col(own), "left").filter(F.col(kept).isNull() | (F.col(kept) != ""))
+    text = F.coalesce(F.col(kept), F.col(text_column))
+    return out.select(*[text.alias(c) if c == text_column else F.col(c) for c in columns])

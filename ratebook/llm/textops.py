@@ -32,10 +32,11 @@ SPACE = _table(b" \t\n\x0b\x0c\r")
 NOT_ALNUM = _table(bytes(b for b in range(128) if not chr(b).isalnum()))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: A random value for each byte, for hashing.
-_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
+#: Hashes are polynomials modulo the prime 2**61 - 1: unlike those modulo 2**64, whose lower bits repeat, they part any two
+#: different texts for all but a few of the bases.  These two were drawn at random.
+PRIME = (1 << 61) - 1
+_BASE, _WORD_BASE = 0x0F3D9A6C5B87E421, 0x1A94C7E20D6B35F7
+_P = U(PRIME)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
@@ -55,22 +56,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME of values below it."""
+    a1, a0, b1, b0 = a >> U(31), a & U(0x7FFFFFFF), b >> U(31), b & U(0x7FFFFFFF)
+    middle = a1 * b0 + a0 * b1
+    total = (a1 * b1 << U(1)) + (middle >> U(30)) + ((middle & U(0x3FFFFFFF)) << U(31))
+    return _reduced(_reduced(total) + _reduced(a0 * b0))
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64."""
+    """base**0 .. base**(n - 1) modulo PRIME."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK + 1), base, U)
-        have[0] = 1
-        _POWERS[base] = have = np.cumprod(have, dtype=U)
+        have = np.ones(1, U)
+        while len(have) < max(n, BLOCK + 1):
+            have = np.concatenate([have, times(have, np.full(len(have), pow(base, len(have), PRIME), U))])
+        _POWERS[base] = have
     return have[:n]
 
 
 @lru_cache(None)
 def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+    return pow(base, -1, PRIME)
+
+
+class _Sums:
+    """Sums of any run of value[i] * power[i] modulo PRIME, from two halves of each term that are added up as they are."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        """Term i is low[i] + high[i] * 2**32; a block has fewer than 2**22 terms, each half less than 2**41."""
+        self.low, self.high = np.zeros(len(low) + 1, U), np.zeros(len(low) + 1, U)
+        np.cumsum(low, out=self.low[1:])
+        np.cumsum(high, out=self.high[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = self.low[end] - self.low[start], self.high[end] - self.high[start]
+        high = _reduced(high)  # high * 2**32 is (high >> 29) * 2**61 and the rest
+        return _reduced(_reduced(low) + (high >> U(29)) + ((high & U(0x1FFFFFFF)) << U(32)))
 
 
 def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -126,28 +157,38 @@ class Words:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end], whatever their lengths, in a few passes over the bytes."""
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTES[data] * powers(_BASE, len(data)), out=total[1:])
-    value = (total[end] - total[start]) * powers(inverse(_BASE), len(data) + 1)[start]
-    return mix(value + (end - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
+    value, power = data.astype(U) + U(1), powers(_BASE, len(data))
+    sums = _Sums(value * (power & U(0xFFFFFFFF)), value * (power >> U(32)))
+    found = times(sums.of(start, end), powers(inverse(_BASE), len(data) + 1)[start])
+    return mix(found + (end - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, stored: np.ndarray, first: np.ndarray, size: np.ndarray) -> bool:
+    """Whether each data[start:end] is stored[first:first + size]; the spans follow each other from 0 to the end."""
+    if (end - start != size).any():
+        return False
+    at = np.repeat((first - start).astype(np.int32), size) + np.arange(len(data), dtype=np.int32)
+    return bool((stored[at] == data).all())
 
 
 class Sequences:
     """Hashes of any run of consecutive words, from prefix sums over the hashes of words."""
 
     def __init__(self, hashes: np.ndarray, salt: int = 0):
-        self.sums = np.zeros(len(hashes) + 1, U)
-        base = _WORD_BASE ^ (salt << 1)
-        np.cumsum((mix(hashes ^ U(salt)) if salt else hashes) * powers(base, len(hashes)), out=self.sums[1:])
+        base = (_WORD_BASE + salt) % PRIME
+        term = times(_reduced(mix(hashes ^ U(salt)) if salt else hashes), powers(base, len(hashes)))
+        self.size = len(hashes)
+        self.sums = _Sums(term & U(0xFFFFFFFF), term >> U(32))
         self.back = powers(inverse(base), len(hashes) + 1)
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         length = np.asarray(length)
-        return mix((self.sums[start + length] - self.sums[start]) * self.back[start] + length.astype(U) * U(0x9FB21C651E98DF25))
+        found = times(self.sums.of(start, start + length), self.back[start])
+        return mix(found + length.astype(U) * U(0x9FB21C651E98DF25))
 
     def all(self, length: int) -> np.ndarray:
         """Of each run of ``length`` words, those over the ends of documents included."""
-        n = len(self.sums) - 1 - length + 1
+        n = self.size - length + 1
         return self.of(np.arange(n), length) if n > 0 else np.empty(0, U)
 
 

@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import U, blocks, bounded_batches, mix, span_hashes
+from .textops import U, blocks, bounded_batches, mix, same_bytes, span_hashes
 from .work import work_dir
 
 GAMMA, LEVELS = 2.0, 64
@@ -112,6 +112,8 @@ class Encoder:
     The library's byte-level tokenizers never join what stands before a space with what follows it, where the space comes
     after a visible character.  Texts are cut there, each distinct part of a block is encoded by the library once, and
     the ids of parts are kept for later blocks; when there are too many, those that no later block had are forgotten.
+    Parts are found by their hashes and compared byte by byte; a block in which two parts share a hash is encoded part
+    by part.
     """
 
     def __init__(self, path: str):
@@ -141,22 +143,36 @@ class Encoder:
         missing = np.flatnonzero(place < 0)
         if len(missing):
             raw = data.tobytes()
-            texts = [raw[start[k] : end[k]].decode() for k in sample[missing].tolist()]
-            found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            texts = [raw[start[k] : end[k]] for k in sample[missing].tolist()]
             place[missing] = len(self.first) - 1 + np.arange(len(missing))
-            self._learn(part[missing], found)
-        size = (self.first[1:] - self.first[:-1])[place][where]
+            self._learn(part[missing], texts, self._library(texts))
+        place = place[where]
+        text_size = (self.text_first[1:] - self.text_first[:-1])[place]
+        if same_bytes(data, start, end, self.text, self.text_first[place], text_size):
+            ids, size = _runs(self.ids, self.first, place)
+        else:
+            ids, size = self._by_part(data, start, end)
         ends = np.cumsum(size)
-        flat = np.arange(ends[-1]) + np.repeat(self.first[place][where] - (ends - size), size)
-        ids = self.ids[flat]
         first = np.concatenate([[0], ends])[np.searchsorted(start, bounds)]
         if len(self.first) > CACHED_WORDS:
             self._trim()
         return ids, first
 
+    def _library(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+
+    def _by_part(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of them) of parts that are told apart by their bytes."""
+        raw, known = data.tobytes(), {}
+        where = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        found = self._library(list(known))
+        first = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        return _runs(np.fromiter(chain.from_iterable(found), np.uint32, int(first[-1])), first, where)
+
     def _forget(self) -> None:
         self.hash, self.at = np.empty(0, U), np.empty(0, np.int64)
         self.first, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.text_first, self.text = np.zeros(1, np.int64), np.empty(0, np.uint8)
         self.again = np.empty(0, bool)
 
     def _trim(self) -> None:
@@ -166,11 +182,10 @@ class Encoder:
             self._forget()
             return
         self.hash, old = self.hash[keep], self.at[keep]
-        size = (self.first[1:] - self.first[:-1])[old]
-        ends = np.cumsum(size)
-        self.ids = self.ids[np.arange(int(size.sum())) + np.repeat(self.first[old] - (ends - size), size)]
-        self.first, self.at = np.concatenate([[0], ends]), np.arange(len(old))
-        self.again = np.zeros(len(old), bool)
+        self.ids, size = _runs(self.ids, self.first, old)
+        self.text, text_size = _runs(self.text, self.text_first, old)
+        self.first, self.text_first = (np.concatenate([[0], np.cumsum(x)]) for x in (size, text_size))
+        self.at, self.again = np.arange(len(old)), np.zeros(len(old), bool)
 
     def _known(self, part: np.ndarray) -> np.ndarray:
         place = np.full(len(part), -1, np.int64)
@@ -182,17 +197,28 @@ class Encoder:
             self.again[place[hit]] = True
         return place
 
-    def _learn(self, part: np.ndarray, found: list[list[int]]) -> None:
+    def _learn(self, part: np.ndarray, texts: list[bytes], found: list[list[int]]) -> None:
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         at = np.arange(len(found)) + len(self.first) - 1
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
         self.ids = np.concatenate([self.ids, flat])
+        text_size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.text_first = np.concatenate([self.text_first, self.text_first[-1] + np.cumsum(text_size)])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(texts), np.uint8)])
         self.again = np.concatenate([self.again, np.zeros(len(found), bool)])
         place = np.searchsorted(self.hash, part)  # both are in order
         self.hash, self.at = np.insert(self.hash, place, part), np.insert(self.at, place, at)
 
 
+def _runs(values: np.ndarray, first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the runs at these places, their sizes); run i is values[first[i]:first[i + 1]]."""
+    size = (first[1:] - first[:-1])[place]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(first[place] - (ends - size), size)], size
+
+
 # --- shards
 
 
@@ -290,8 +316,8 @@ def write_ids(
 ) -> DataFrame:
     """Encode ``docs`` into shards below ``folder``; returns the manifest (name, low, high, docs, ids, start), ordered.
 
-    Null texts are empty and have the end id alone.  Rows without an id are left out; of rows that repeat an id the first
-    is stored.  ``folder`` is shared by all executors and has a scheme that Arrow's file systems know.
+    Null texts are empty and have the end id alone.  Rows without an id are left out; of the texts of an id the one with
+    the smallest hash (of equal hashes the smallest text) is stored.  ``folder`` is shared by all executors and has a scheme that Arrow's file systems know.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -300,7 +326,7 @@ def write_ids(
     files, root = _files(folder)
     files.create_dir(root, recursive=True)
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("id is not null")
-    placed = plain.repartitionByRange("id").sortWithinPartitions("id")
+    placed = plain.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"), "text")
     rows = placed.mapInArrow(lambda b: _write(b, folder, tokenizer, end_id, width), MANIFEST_SCHEMA).collect()  # a row per shard
     start, table = 0, []
     for r in sorted(rows, key=lambda r: r["low"]):
