@@ -24,12 +24,16 @@ from .textops import LOWER, SPACE, Sequences, U, Words, blocks, bounded_batches,
 from .work import fresh, by_batch, keep_ids, one_text_an_id, staged
 
 SHINGLE, SIMILARITY = 5, (75, 100)
-TOKENS, TREES, BRANCHES, NODE, MAX_DEPTH = 40, 10, 3, 256, 4
+TOKENS, TREES, BRANCHES, MAX_DEPTH = 40, 10, 3, 4
+#: Members of a node that one task compares by their sketches, of 80 bytes each.
+NODE = 4096
 #: Equal minwise tokens of 40 that two sets must have to be compared in full; at 0.75 they have 30 on average, and fewer
 #: than 17 six times in a million.
 SKETCH = 17
 #: Members of a main component that one task compares with the members outside it.
-BLOCK = 2048
+BLOCK = 4096
+#: Shingles of a group that one task compares in full.
+SHINGLES = 2_000_000
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 
 
@@ -83,7 +87,7 @@ def _sketches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     tokens = np.asarray(batch.column(1).flatten()).astype(np.uint16).tobytes()
     width = 2 * TOKENS
     parts = [tokens[k : k + width] for k in range(0, len(tokens), width)]
-    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.binary())], names=["id", "tokens", "sketch"])
+    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.binary())], names=["id", "tokens", "n", "sketch"])
 
 
 def _matrix(sketches: pa.Array) -> np.ndarray:
@@ -136,17 +140,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Members of one group that their sketch calls similar to a member of another component."""
+    """Members of one group that their sketch calls similar to a member of another component, in clusters that are joined
+    by such pairs.  A cluster's name follows from its ids, so it is the same in every tree that brings it together."""
     comps = table["comp"].to_numpy()
     sketches = _matrix(table["sketch"].combine_chunks())
-    found = np.zeros(len(comps), bool)
+    cluster, found = np.arange(len(comps)), np.zeros(len(comps), bool)
     values, counts = np.unique(comps, return_counts=True)
     main = comps == values[np.argmax(counts)]
     for k in np.flatnonzero(~main):  # members of the main component need not be compared with each other
-        near = ((sketches == sketches[k]).sum(1) >= SKETCH) & (comps != comps[k])
-        found |= near
-        found[k] |= near.any()
-    return table.select(["node", "id", "comp"]).filter(pa.array(found))
+        near = np.flatnonzero(((sketches == sketches[k]).sum(1) >= SKETCH) & (comps != comps[k]))
+        if len(near):
+            found[near] = found[k] = True
+            joined = np.unique(np.append(cluster[near], cluster[k]))
+            if len(joined) > 1:
+                cluster[np.isin(cluster, joined)] = joined[0]
+    some = np.flatnonzero(found)
+    ids, cluster = table["id"].to_numpy()[some], cluster[some]
+    names, where = np.unique(cluster, return_inverse=True)
+    name = np.zeros(len(names), U)
+    np.add.at(name, where, mix(ids.view(U) * U(0x9E3779B97F4A7C15) + U(0x632BE59BD9B4E019)))
+    return pa.table([longs(mix(name)[where]), pa.array(ids), pa.array(comps[some])], names=["node", "id", "comp"])
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -229,6 +242,19 @@ def _groups(points: DataFrame, blocks_of_all: bool) -> DataFrame:
     return points.select("node", "id", F.explode(within).alias("block")).select(F.xxhash64("node", "block").alias("node"), "id")
 
 
+def _bounded(close: DataFrame) -> DataFrame:
+    """(node, id, comp) of ``close`` (node, id, comp, n), where a cluster of more than SHINGLES shingles is cut into parts
+    that meet in pairs."""
+    weight = close.groupBy("node").agg(F.sum("n").alias("weight"))
+    parts = F.greatest(F.ceil(F.col("weight") * 2 / SHINGLES), F.lit(1)).cast("int")
+    dealt = close.join(weight, "node").withColumn("parts", parts)
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0))))
+    dealt = dealt.withColumn("own", own).withColumn("other", other)
+    node = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(node.alias("node"), "id", "comp")
+
+
 def _relabel(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after further links between ids of known components."""
     if comp is None:
@@ -274,8 +300,8 @@ def _near_duplicates(docs: DataFrame, id_column: str, text_column: str) -> DataF
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = staged(by_batch(docs, _sign, "id long, n long, low long, high long, tokens array<long>"), "signed")
     classes = signed.filter("n > 0").groupBy("low", "high", "n").agg(F.min("id").alias("rep"))
-    reps = signed.join(classes.select(F.col("rep").alias("id")).distinct(), "id").select("id", "tokens")
-    reps = by_batch(reps.dropDuplicates(["id"]), _sketches, "id long, tokens array<long>, sketch binary")
+    reps = signed.join(classes.select(F.col("rep").alias("id")).distinct(), "id").select("id", "tokens", "n")
+    reps = by_batch(reps.dropDuplicates(["id"]), _sketches, "id long, tokens array<long>, n long, sketch binary")
     reps = staged(reps, "classes")
 
     roots = reps.select("id", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
@@ -294,9 +320,7 @@ def _near_duplicates(docs: DataFrame, id_column: str, text_column: str) -> DataF
         points = staged(_labelled(points, comp), "points")
         nodes = staged(_mixed(points), "nodes")
         points = points.join(nodes.drop("pivot"), "node")
-        # few members outside the main component, or alike anyway, so that branching would not part them
-        alike = (F.col("others") <= 4 * NODE) & (F.col("others") * 2 <= F.col("size"))
-        few = (F.col("size") <= NODE) | (F.col("others") <= NODE) | alike
+        few = (F.col("size") <= NODE) | (F.col("others") <= NODE)
         leaves.append(staged(_groups(points.filter(few), False), "leaves"))
         if nodes.filter(~few).isEmpty():
             break
@@ -317,9 +341,11 @@ def _near_duplicates(docs: DataFrame, id_column: str, text_column: str) -> DataF
             points = points.unionByName(more)
         points = _labelled(points.distinct(), comp)
         mixed = points.join(_mixed(points).select("node"), "node").join(reps, "id").select("node", "id", "comp", "sketch")
-        close = staged(mixed.groupBy("node").applyInArrow(_candidates, "node long, id long, comp long"), "close")
+        close = mixed.groupBy("node").applyInArrow(_candidates, "node long, id long, comp long")
+        close = staged(close.distinct().join(reps.select("id", "n"), "id"), "close")
         if not close.isEmpty():
-            groups = close.join(shingles_of(docs, close.select("id")), "id").select("node", "id", "comp", "shingles")
+            sets = shingles_of(docs, close.select("id"))
+            groups = _bounded(close).join(sets, "id").select("node", "id", "comp", "shingles")
             comp = _relabel(comp, staged(groups.groupBy("node").applyInArrow(_compare, "a long, b long"), "links"))
     known = classes.withColumnRenamed("rep", "id")
     if comp is not None:

@@ -80,6 +80,7 @@ def test_near_duplicates_of_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "NODE", 4)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     monkeypatch.setattr(near_dedup, "MAX_DEPTH", 1)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 300)
     random.seed(9)
     shared = [f"h{k}" for k in range(60)]
     texts = []
@@ -101,9 +102,11 @@ def test_near_duplicates_of_nothing_and_of_rows_without_ids(spark):
     assert "extra" in left.columns
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
+    """By rounds of joins, and by one task."""
     edges = [(5, 4), (4, 9), (9, 12), (20, 21), (7, 7), (5, 4)] + [(100 + k, 101 + k) for k in range(40)]
-    found = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert {k: v for k, v in found.items() if k < 100} == {4: 4, 5: 4, 9: 4, 12: 4, 20: 20, 21: 20}
     assert {v for k, v in found.items() if k >= 100} == {100}
 
