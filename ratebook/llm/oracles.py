@@ -110,7 +110,78 @@ from leaves d join roots using (tree) join ends e on e.tree = d.tree and e.pos =
 left join proofs p on p.tree = d.tree and p.pos = d.pos cross join top
 """
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+_ALNUM = r"regexp_extract_all(coalesce({}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _run(words: str, first: str, size: str) -> str:
+    """``size`` words from the ``first`` one on, as a text; words have no spaces."""
+    return f"array_to_string(list_slice({words}, {first}, {first} + {size} - 1), ' ')"
+
+
+NEAR_DUPLICATES = f"""
+with recursive texts as (select doc_id, {_SPACED.format(_LOWER.format("text"))} as w from documents),
+sets as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: {_run("w", "i", "5")}))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+  from texts
+),
+shingles as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+reached as (
+  select doc_id as id, doc_id as other from sets union select id, b from reached join links on a = other
+)
+select doc_id, len(s) as n_shingles, min(other) as component_id, doc_id = min(other) as kept
+from sets join reached on id = doc_id group by doc_id, s
+"""
+
+SUBSTRINGS = f"""
+with texts as (select doc_id, {_SPACED.format("text")} as w from documents),
+windows as (
+  select doc_id, i, row_number() over (partition by {_run("w", "i", "20")} order by doc_id, i) > 1 as repeated
+  from texts, unnest(range(1, len(w) - 18)) t(i) where len(w) >= 20
+),
+hit as (select distinct doc_id, i + j as i from windows, range(20) r(j) where repeated),
+words as (select doc_id, i, w[i] as word from texts, unnest(range(1, len(w) + 1)) t(i)),
+cut as (
+  select doc_id, count(h.i) as n_removed, string_agg(word, ' ' order by i) filter (where h.i is null) as kept
+  from words left join hit h using (doc_id, i) group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from texts left join cut using (doc_id)
+"""
+
+CONTAMINATION = f"""
+with texts as (select doc_id, {_ALNUM.format(_LOWER.format("text"))} as w from documents),
+items as (select item_id, {_ALNUM.format(_LOWER.format("text"))} as w from benchmark),
+wanted as (
+  select distinct item_id, least(len(w), 10) as size, {_run("w", "i", "least(len(w), 10)")} as run
+  from items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) where len(w) > 0
+),
+found as (
+  select doc_id, i, size, item_id from (
+    select doc_id, i, size, {_run("w", "i", "size")} as run
+    from texts, (select distinct size from wanted) s, unnest(range(1, len(w) - size + 2)) t(i) where len(w) >= size)
+  join wanted using (size, run)
+),
+hit as (select doc_id, count(distinct i + j) as n_hit from found, range(10) r(j) where j < size group by doc_id),
+named as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
+  from (select distinct doc_id, item_id::varchar as item_id from found) group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from texts left join hit using (doc_id) left join named using (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_near_duplicates": NEAR_DUPLICATES,
+    "op4_substring_dedup": SUBSTRINGS,
+    "op7_decontamination": CONTAMINATION,
     "op11_topk": TOPK,
     "op12_hard_negatives": HARD_NEGATIVES,
     "op13_merkle_manifest": MERKLE,

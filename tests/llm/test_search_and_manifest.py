@@ -259,10 +259,10 @@ def test_manifest_of_an_empty_table(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="supplied tables not present")
-@pytest.mark.parametrize("name", ["op11_topk", "op12_hard_negatives", "op13_merkle_manifest"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "documents"):
+    for t in ("embeddings", "documents", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     result = con.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
