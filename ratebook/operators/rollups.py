@@ -21,7 +21,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], into: str = "row_count") ->
 
 def share_of_total(df: DataFrame, keys: Sequence[str], count="row_count", pct="percent_of_total") -> DataFrame:
     """Rows per key combination and their percentage of all rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+    counts = staged(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)), "counts")  # read for the total again
     total = counts.agg(F.sum(count)).scalar()
     return counts.withColumn(pct, 100.0 * F.col(count) / total)
 
