@@ -7,7 +7,13 @@ thresholds t_k.  Grades of the rated documents: 0 toxic, 1 neither toxic nor of
 Features are hashed words of the whole text, the word itself and its shape (case, digits and other characters as
 classes), each present or not, so that one bad word of a long text counts in full, plus shares of characters.  Training
 minimises the penalised likelihood with adaptive steps on a sample of at most ``SAMPLE`` rated documents, those of
-smallest hash.  A document is selected when its tail probability P(grade >= 2) is at least ``SELECT``.
+smallest hash.  Words take part if their score test against the model without words exceeds what the largest of so many
+tests of meaningless words would be: the many words of long texts otherwise learn the errors of the ratings by heart.
+Frequent words take part like others.  A document is selected when its tail probability P(grade >= 2) is at least
+``SELECT``.
+
+Null and empty texts have no words and are judged by their shares.  Where all ratings are the same, no word takes part and
+all documents get the same probabilities but for the shares.  Without ratings all are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from .work import by_batch
 
 FEATURES, SHARES = 1 << 18, 8
 SAMPLE, EPOCHS, BATCH, RATE, PENALTY = 12000, 8, 32, 0.3, 2e-5
-GRADES, SELECT = 3, 0.35
+GRADES, SELECT = 3, 0.6
 #: Words that fewer rated documents hold say nothing about others.
 MIN_DOCS = 3
 
@@ -86,10 +92,29 @@ class Model:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
+def score_tests(found: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, float]:
+    """For each feature, how many standard deviations the slope of the likelihood by its weight is from 0 in the model of
+    thresholds only (0 for features of fewer than ``MIN_DOCS`` documents), and the limit sqrt(2 ln m) of m such tests."""
+    if not found:
+        return np.zeros(FEATURES), 0.0
+    chance = np.bincount(grades, minlength=GRADES) / len(grades)
+    tail = np.concatenate([[1.0], 1 - np.cumsum(chance)[:-1], [0.0]])  # P(grade >= 0), P(grade >= 1), ..., 0
+    spread = tail * (1 - tail)
+    slope = ((spread[:-1] - spread[1:]) / np.maximum(chance, 1e-9))[grades]
+    slope -= slope.mean()
+    every = np.concatenate(found)
+    seen = np.bincount(every, minlength=FEATURES)
+    total = np.bincount(every, np.repeat(slope, [len(f) for f in found]), FEATURES)
+    variance = seen * (1 - seen / len(found)) * slope.var()
+    tested = (seen >= MIN_DOCS) & (variance > 1e-12)
+    tests = np.where(tested, np.abs(total) / np.sqrt(np.maximum(variance, 1e-12)), 0.0)
+    return tests, float(np.sqrt(2 * np.log(max(tested.sum(), 2))))
+
+
 def fit(found: list[np.ndarray], shares: np.ndarray, grades: np.ndarray, seed: int = 5) -> Model:
-    """Penalised maximum likelihood with per-weight adaptive steps."""
-    seen = np.bincount(np.concatenate(found), minlength=FEATURES) if found else np.zeros(FEATURES, int)
-    found = [f[(seen[f] >= MIN_DOCS) & (seen[f] < len(found) // 4 + MIN_DOCS)] for f in found]
+    """Penalised maximum likelihood with per-weight adaptive steps, over the features that pass their score test."""
+    tests, limit = score_tests(found, grades)
+    found = [f[tests[f] > limit] for f in found]
     w, g2 = np.zeros(FEATURES + SHARES), np.full(FEATURES + SHARES, 1e-8)
     # thresholds start at the shares of grades; steps between them stay positive
     share = np.array([(grades > k).mean() for k in range(GRADES - 1)]).clip(0.01, 0.99) if len(grades) else np.full(GRADES - 1, 0.5)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from ratebook.llm import pieces, queries, token_index
 from ratebook.llm.language_id import language_id, softmax, temperature
-from ratebook.llm.quality_model import fit, keep_quality, quality
+from ratebook.llm.quality_model import FEATURES, SELECT, _sigmoid, fit, keep_quality, predict, quality, score_tests, train
 from ratebook.llm.textops import blocks
 from ratebook.llm.token_rollup import Rollup, deltas
 from ratebook.llm.warc import page_chunks, pages_from, read_archives, write_archives
@@ -72,6 +72,65 @@ def test_ordinal_fit_orders_grades():
     assert expected[0] + 0.5 < expected[1] < expected[2] - 0.5
 
 
+def _likelihood(score, thresholds, grades):
+    tails = np.concatenate([np.ones((len(score), 1)), _sigmoid(score[:, None] - thresholds[None, :]), np.zeros((len(score), 1))], 1)
+    line = np.arange(len(score))
+    return np.log(tails[line, grades] - tails[line, grades + 1]).sum()
+
+
+def test_score_tests_are_slopes_of_the_likelihood():
+    random_ = np.random.default_rng(3)
+    grades = random_.choice(3, 400, p=[0.2, 0.3, 0.5])
+    found = [np.unique(np.concatenate([[int(g == 0)], random_.integers(2, 30, 5)])) for g in grades]
+    tests, limit = score_tests(found, grades)
+    share = np.array([(grades > k).mean() for k in range(2)])
+    thresholds = np.log((1 - share) / share)
+    for feature in (0, 1, 7, 20):
+        has = np.array([feature in f for f in found], float)
+        slope = (_likelihood(1e-4 * has, thresholds, grades) - _likelihood(-1e-4 * has, thresholds, grades)) / 2e-4
+        each = np.array([(_likelihood(np.array([1e-4]), thresholds, grades[i : i + 1]) - _likelihood(np.array([-1e-4]), thresholds, grades[i : i + 1])) / 2e-4 for i in range(400)])
+        assert tests[feature] == pytest.approx(abs(slope) / np.sqrt(has.sum() * (1 - has.mean()) * each.var()), rel=1e-4)
+    assert limit == pytest.approx(np.sqrt(2 * np.log(30))) and tests[1] > limit and tests[FEATURES - 1] == 0
+
+
+def test_wrong_ratings_are_not_learnt_by_heart():
+    """One rating in ten is wrong, texts have many words: documents that were not learnt from are told all the same."""
+    random_ = np.random.default_rng(4)
+    truth = random_.choice([0, 2], 1200, p=[0.15, 0.85])
+    rated = np.where(random_.random(1200) < 0.1, 0, truth)
+    found = [np.unique(np.concatenate([random_.integers(5 * (g == 2), 5 * (g == 2) + 5, 2), random_.integers(100, 9000, 150)])) for g in truth]
+    shares = np.zeros((1200, 8))
+    model = fit(found[:900], shares[:900], rated[:900])
+    keep = model.tails(found[900:], shares[900:])[:, -1] >= SELECT
+    assert keep[truth[900:] == 2].mean() >= 0.98 and keep[truth[900:] == 0].mean() <= 0.05
+
+
+def test_quality_of_documents_that_were_not_learnt_from(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = train(docs, labels.filter(~out))
+    judged = predict(docs.join(labels.filter(out), "doc_id"), model).join(labels, "doc_id")
+    kept = {(r.quality, r.toxic): r.kept for r in judged.groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
+    assert kept[1, 0] >= 0.97 and kept[1, 1] <= 0.1 and kept[0, 0] <= 0.15 and kept[0, 1] <= 0.1
+
+
+def test_quality_of_odd_tables(spark):
+    rows = [(k, "good words here" if k % 2 else "bad words here", k % 2) for k in range(80)]
+    rows += [(80, None, 1), (81, "", 0), (None, "good words here", 1), (82, "good " * 100000, 1), (1, "good words here", 1)]
+    docs = spark.createDataFrame([(k, text, 7.0, "x") for k, text, _ in rows], "doc_id long, text string, grade double, p_top string")
+    labels = spark.createDataFrame([(k, q, 0, "y") for k, _, q in rows], "doc_id long, quality int, toxic int, text string")
+    left = keep_quality(docs, labels)
+    assert left.columns == docs.columns
+    kept = collections.Counter(r.doc_id for r in left.collect())
+    assert kept[1] == 2 and kept[None] == 1 and kept[82] == 1 and all(kept[k] == k % 2 for k in range(2, 80))
+    assert quality(docs, labels).count() == len(rows)
+    same = quality(docs, labels.withColumn("quality", F.lit(1))).collect()
+    assert len(same) == len(rows) and all(r.keep for r in same)
+    assert not any(r.keep for r in quality(docs, labels.withColumn("toxic", F.lit(1))).collect())
+    nothing = quality(docs, labels.withColumn("quality", F.lit(None).cast("int")).withColumn("toxic", F.lit(None).cast("int"))).collect()
+    assert all(r.keep and r.p_top is None for r in nothing)
+
+
 def test_quality_keeps_good_and_drops_rejected(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rated = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
