@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import ACCURACY, quantile
 from ..sources.sinks import staged
 from .joins import null_safe_join
+from .sketches import EXACT_ROWS, agg_with_quantiles
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], into: str = "row_count") -> DataFrame:
@@ -97,10 +98,11 @@ def equal_weight_rollup(
 
     ``levels`` is [(name, keys), …], finest first.  Each level turns the rows below into one with
     ``median_{name}_price``; ``source_row_count`` and the ``{name}_count`` of every level below are carried up,
-    and mean, min, max and sample standard deviation of the level just below are added.
+    and mean, min, max and sample standard deviation of the level just below are added.  Medians are exact at any size:
+    a level is checked for large groups until one has so few rows that none above it can be large.
     """
     counts: list[str] = []
-    price, below = value, None
+    price, below, few = value, None, False
     for name, keys in levels:
         aggregates = [F.min(c).alias(c) for c in carry]
         if below is None:
@@ -116,7 +118,11 @@ def equal_weight_rollup(
             ]
         counts.append("source_row_count" if below is None else f"{below}_count")
         median = f"median_{name}_price"
-        df = df.groupBy(*keys).agg(*aggregates, quantile(price, 0.5, accuracy).alias(median))
+        if few:
+            df = df.groupBy(*keys).agg(*aggregates, quantile(price, 0.5, accuracy).alias(median))
+        else:
+            df = agg_with_quantiles(df, keys, aggregates, {median: (price, 0.5)}, accuracy=accuracy)
+            few = df.count() < EXACT_ROWS
         price, below = median, name
     return df
 

@@ -13,11 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed_values import COMPARABLE_CODE_TYPES, INPATIENT_CODE_TYPE, PAYER_FAMILY_RULES
-from ..functions.aggregates import exact_mean, pct_of_rows, quantile, quantiles
+from ..functions.aggregates import exact_mean, pct_of_rows, quantile
 from ..functions.prices import comparison_setting
 from ..functions.rules import payer_category, payer_family
 from ..operators.reshape import complete_pairs, conditional_pivot
 from ..operators.rollups import equal_weight_rollup, with_coverage
+from ..operators.sketches import agg_with_quantiles
 from .reports import rounded
 
 LOCATION = ["facility_id", "mrf_location_name"]
@@ -27,7 +28,7 @@ LOCATION_ATTRIBUTES = [
     "overall_rating", "licensed_beds", "census_zcta", "zcta_population", "zcta_median_household_income",
     "zcta_poverty_rate", "zcta_uninsured_rate", "zcta_unemployment_rate", "zcta_bachelors_or_higher_rate",
 ]
-_QUARTILES = [0.25, 0.5, 0.75]
+_QUARTILES = {"_p25": 0.25, "_p50": 0.5, "_p75": 0.75}
 
 
 def _priced(fact: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def comparable_prices(
     """
     price = F.col("negotiated_dollar")
     keys = ["system_name", *LOCATION, *COMPARABLE]
-    grouped = (
+    rows = (
         _priced(fact)
         .filter(_code_type().isin(*code_types))
         .select(
@@ -67,18 +68,21 @@ def comparable_prices(
             payer_category("payer", "plan").alias("payer_category"),
             "description", "payer", "plan", "negotiated_dollar",
         )
-        .groupBy(*keys)
-        .agg(
+    )
+    grouped = agg_with_quantiles(
+        rows,
+        keys,
+        [
             F.min("description").alias("description"),
             F.count(F.lit(1)).alias("source_row_count"),
             F.count_distinct("payer").alias("raw_payer_count"),
             F.count_distinct("plan").alias("raw_plan_count"),
             exact_mean(price, scale).alias("mean_negotiated_price"),
-            quantile(price, 0.5).alias("median_negotiated_price"),
             F.min(price).alias("min_negotiated_price"),
             F.max(price).alias("max_negotiated_price"),
             F.stddev_samp(price).alias("sd_negotiated_price"),
-        )
+        ],
+        {"median_negotiated_price": (price, 0.5)},
     )
     attributes = locations.groupBy(*LOCATION).agg(*[F.min(a).alias(a) for a in LOCATION_ATTRIBUTES])
     member = F.concat("facility_id", F.lit("|"), "mrf_location_name")
@@ -105,24 +109,24 @@ def msdrg_comparison(
     means over decimals."""
     keys = ["msdrg_code", "payer_category"]
     price = F.col("median_negotiated_price")
-    systems = (
-        comparable.filter(
-            (F.col("procedure_code_type") == code_type)
-            & F.col("is_all_three_systems")
-            & F.col("payer_category").isin(*categories)
-        )
-        .withColumnRenamed("procedure_code", "msdrg_code")
-        .groupBy("system_name", *keys)
-        .agg(
+    stays = comparable.filter(
+        (F.col("procedure_code_type") == code_type)
+        & F.col("is_all_three_systems")
+        & F.col("payer_category").isin(*categories)
+    ).withColumnRenamed("procedure_code", "msdrg_code")
+    systems = agg_with_quantiles(
+        stays,
+        ["system_name", *keys],
+        [
             F.min("description").alias("description"),
             F.count(F.lit(1)).alias("location_observations"),
             F.count_distinct(F.concat("facility_id", F.lit("|"), "mrf_location_name")).alias("location_count"),
             exact_mean(price, scale).alias("mean_location_price"),
-            quantile(price, 0.5).alias("median_system_price"),
             F.min(price).alias("min_location_price"),
             F.max(price).alias("max_location_price"),
             F.stddev_samp(price).alias("sd_location_price"),
-        )
+        ],
+        {"median_system_price": (price, 0.5)},
     )
     # at most one row per system in a window
     group = W.partitionBy(*keys)
@@ -155,9 +159,11 @@ def msdrg_differences(comparison: DataFrame, systems: Mapping[str, str], digits:
         [f"{x}_price" for x in labels],
     )
     pairs = [(b, a) for a in labels for b in labels if labels.index(b) > labels.index(a)]
-    grouped = sides.groupBy("payer_category").agg(
-        F.count(F.lit(1)).alias("matched_msdrgs"),
-        *[quantile(F.try_divide(f"{b}_price", f"{a}_price"), 0.5).alias(f"{b}_{a}") for b, a in pairs],
+    grouped = agg_with_quantiles(
+        sides,
+        ["payer_category"],
+        [F.count(F.lit(1)).alias("matched_msdrgs")],
+        {f"{b}_{a}": (F.try_divide(f"{b}_price", f"{a}_price"), 0.5) for b, a in pairs},
     )
     pct_digits = None if digits is None else 1
     return grouped.select(
@@ -238,16 +244,23 @@ def insurer_differences(insurer: DataFrame, systems: Mapping[str, str], digits:
     )
     pa, pb = F.col(f"{a}_price"), F.col(f"{b}_price")
     ratio_digits, pct_digits = (None, None) if digits is None else (3, 1)
-    grouped = pairs.groupBy("payer_family", "payer_category").agg(
-        F.count(F.lit(1)).alias("matched_msdrgs"),
-        rounded(quantile(pa, 0.5), digits).alias(f"median_{a}_price"),
-        rounded(quantile(pb, 0.5), digits).alias(f"median_{b}_price"),
-        quantiles(F.try_divide(pa, pb), _QUARTILES).alias("q"),
-        rounded(pct_of_rows(pa > pb), pct_digits).alias(f"pct_msdrgs_{a}_higher"),
+    grouped = agg_with_quantiles(
+        pairs,
+        ["payer_family", "payer_category"],
+        [
+            F.count(F.lit(1)).alias("matched_msdrgs"),
+            rounded(pct_of_rows(pa > pb), pct_digits).alias(f"pct_msdrgs_{a}_higher"),
+        ],
+        {
+            f"median_{a}_price": (pa, 0.5),
+            f"median_{b}_price": (pb, 0.5),
+            **{name: (F.try_divide(pa, pb), p) for name, p in _QUARTILES.items()},
+        },
     )
-    q = [F.get("q", F.lit(i)) for i in range(3)]
+    q = [F.col(name) for name in _QUARTILES]
     return grouped.select(
-        "payer_family", "payer_category", "matched_msdrgs", f"median_{a}_price", f"median_{b}_price",
+        "payer_family", "payer_category", "matched_msdrgs",
+        *[rounded(f"median_{label}_price", digits).alias(f"median_{label}_price") for label in (a, b)],
         rounded(q[0], ratio_digits).alias("p25_ratio"),
         rounded(q[1], ratio_digits).alias(f"median_{a}_vs_{b}_ratio"),
         rounded(q[2], ratio_digits).alias("p75_ratio"),
@@ -282,18 +295,25 @@ def _dashboard(paired: DataFrame, keys: Sequence[str], first: Sequence[Column],
     a, b = labels
     ratio_digits, pct_digits = (None, None) if digits is None else (3, 1)
     log_ratio = F.avg("log_price_ratio")
-    grouped = paired.groupBy(*keys).agg(
-        *first,
-        rounded(quantile(f"{a}_price", 0.5), digits).alias(f"median_{a}_price"),
-        rounded(quantile(f"{b}_price", 0.5), digits).alias(f"median_{b}_price"),
-        quantiles(f"{a}_vs_{b}_ratio", _QUARTILES).alias("q"),
-        rounded(F.exp(log_ratio), ratio_digits).alias("geometric_mean_ratio"),
-        rounded(100 * (F.exp(log_ratio) - 1), pct_digits).alias("geometric_mean_pct_difference"),
-        rounded(100 * F.avg(F.col(f"{a}_higher").cast("int")), pct_digits).alias(f"pct_{a}_higher"),
+    ratios = dict(zip(["p25_ratio", "median_ratio", "p75_ratio"], _QUARTILES.values()))
+    prices = [f"median_{a}_price", f"median_{b}_price"]
+    grouped = agg_with_quantiles(
+        paired,
+        keys,
+        [
+            *first,
+            rounded(F.exp(log_ratio), ratio_digits).alias("geometric_mean_ratio"),
+            rounded(100 * (F.exp(log_ratio) - 1), pct_digits).alias("geometric_mean_pct_difference"),
+            rounded(100 * F.avg(F.col(f"{a}_higher").cast("int")), pct_digits).alias(f"pct_{a}_higher"),
+        ],
+        {
+            **dict(zip(prices, [(f"{a}_price", 0.5), (f"{b}_price", 0.5)])),
+            **{name: (f"{a}_vs_{b}_ratio", p) for name, p in ratios.items()},
+        },
     )
-    for i, name in enumerate(["p25_ratio", "median_ratio", "p75_ratio"]):
-        grouped = grouped.withColumn(name, rounded(F.get("q", F.lit(i)), ratio_digits))
-    return grouped.drop("q")
+    return grouped.withColumns({
+        **{c: rounded(c, digits) for c in prices}, **{c: rounded(c, ratio_digits) for c in ratios}
+    })
 
 
 def dashboard_insurer_summary(paired: DataFrame, labels: Sequence[str], digits: int | None = 2) -> DataFrame:

@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import BAND_LATITUDE
-from ..functions.aggregates import exact_mean, quantiles
+from ..functions.aggregates import exact_mean
 from ..functions.prices import latitude_band
 from ..operators.joins import null_safe_join
 from ..operators.ranking import top_k
 from ..operators.reshape import complete_pairs, conditional_pivot
 from ..operators.rollups import exact_quantiles, share_of_total
+from ..operators.sketches import agg_with_quantiles
 
 PROCEDURE = ["code_1_type", "code_1", "description"]
 LOCATION = ["facility_id", "mrf_location_name"]
@@ -256,18 +257,13 @@ def ratio_distribution(
 ) -> DataFrame:
     """Quartiles and mean of the north/south ratio by plan."""
     ratio = F.try_divide("north_price", "south_price")
-    grouped = (
-        regional_pairs(fact, locations, cut, scale)
-        .groupBy("payer_plan")
-        .agg(
-            F.count(F.lit(1)).alias("procedure_count"),
-            quantiles(ratio, [0.25, 0.5, 0.75]).alias("q"),
-            rounded(F.avg(ratio), digits).alias("mean_ratio"),
-        )
+    quartiles = {"p25_ratio": 0.25, "median_ratio": 0.5, "p75_ratio": 0.75}
+    grouped = agg_with_quantiles(
+        regional_pairs(fact, locations, cut, scale),
+        ["payer_plan"],
+        [F.count(F.lit(1)).alias("procedure_count"), rounded(F.avg(ratio), digits).alias("mean_ratio")],
+        {name: (ratio, p) for name, p in quartiles.items()},
     )
     return grouped.select(
-        "payer_plan",
-        "procedure_count",
-        *[rounded(F.get("q", F.lit(i)), digits).alias(c) for i, c in enumerate(["p25_ratio", "median_ratio", "p75_ratio"])],
-        "mean_ratio",
+        "payer_plan", "procedure_count", *[rounded(c, digits).alias(c) for c in quartiles], "mean_ratio"
     ).orderBy(F.col("median_ratio").desc(), "payer_plan")

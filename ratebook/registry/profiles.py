@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..operators import rollups as U
+from ..operators import sketches as S
+from ..operators.joins import null_safe_join
 from ..plans import profiles as P
 from ..schema import PRICE_FACT
+from ..sources.sinks import staged, work_dir
 from . import adapters as A
 from .core import register
 
@@ -212,3 +215,53 @@ def validation_report(spark, sf):
         Q.check_counts(fact, "system_name", regions.withColumn("expected", F.lit(1000).cast("long"))),
         Q.check_same_count(fact, joined, "rows kept by location join"),
     ])
+
+
+_HIERARCHY = ["system_name", "facility_id"]
+
+
+@register(
+    "incremental_summaries",
+    f"""WITH {A.FACT_SQL},
+    priced AS (SELECT system_name, facility_id, negotiated_dollar, code_1 FROM fact WHERE negotiated_dollar IS NOT NULL)
+    SELECT grouping_id(system_name, facility_id) AS above, system_name, facility_id, COUNT(*) AS rows,
+      MIN(negotiated_dollar) AS low, MAX(negotiated_dollar) AS high, COUNT(DISTINCT code_1) AS codes,
+      TRUE AS quartiles_within_bound, TRUE AS codes_within_bound
+    FROM priced GROUP BY ROLLUP (system_name, facility_id)""",
+)
+def incremental_summaries(spark, sf):
+    """A mart of stored sketches per location, loaded in batches (one of them twice), merged over batches and up to systems and
+    the total; what it tells is held against the rows themselves: the ranks of its quartiles and its distinct codes."""
+    rows = A.price_fact(spark, sf).filter("negotiated_dollar is not null")
+    rows = staged(rows.select(*_HIERARCHY, "negotiated_dollar", "code_1", "code_1_type"), "priced-rows")
+    mart = S.SummaryMart(spark, work_dir(spark, "summary-mart"), _HIERARCHY)
+    of = {"codes": "code_1"}
+    staying = F.coalesce(F.col("code_1_type") == "MS-DRG", F.lit(False))
+    for batch, part in [("other", ~staying), ("stays", staying), ("other", ~staying)]:
+        mart.load(batch, rows.filter(part), "negotiated_dollar", of)
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    depth = len(_HIERARCHY)
+    merged = S.told(S.levels(mart.current(), _HIERARCHY), quartiles)
+    merged = staged(merged.withColumn("above", (F.pow(F.lit(2), depth - F.col("level")) - 1).cast("long")).drop("level"), "told")
+    # each row stands below one group of each level
+    sides = [F.struct(F.lit((1 << k) - 1).cast("long").alias("above"),
+                      *[(F.col(c) if i < depth - k else F.lit(None).cast("string")).alias(c) for i, c in enumerate(_HIERARCHY)])
+             for k in range(depth + 1)]
+    at = ["above", *_HIERARCHY]
+    values = rows.groupBy(*_HIERARCHY, "code_1", F.col("negotiated_dollar").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = values.select(F.inline(F.array(*sides)), "code_1", "v", "n")
+    held = null_safe_join(values, merged.select(*at, *quartiles), at).groupBy(*at).agg(
+        F.count_distinct("code_1").alias("exact_codes"),
+        F.sum("n").alias("all"),
+        *[F.sum(F.when(F.col("v") < F.col(q), F.col("n")).otherwise(0)).alias(f"{q}_below") for q in quartiles],
+        *[F.sum(F.when(F.col("v") <= F.col(q), F.col("n")).otherwise(0)).alias(f"{q}_upto") for q in quartiles],
+    )
+    # the ranks of a value are from the rows below it to those up to it; one row is allowed for groups of few
+    allowed = S.RANK_ERROR * F.col("all") + 1
+    ranked = [(F.col(f"{q}_below") <= p * F.col("all") + allowed) & (F.col(f"{q}_upto") >= p * F.col("all") - allowed)
+              for q, p in quartiles.items()]
+    counted = F.abs(F.col("codes") - F.col("exact_codes")) <= S.COUNT_ERROR * F.col("exact_codes")
+    return null_safe_join(merged, held, at).select(
+        "above", *_HIERARCHY, "rows", "low", "high", F.col("exact_codes").alias("codes"),
+        (ranked[0] & ranked[1] & ranked[2]).alias("quartiles_within_bound"), counted.alias("codes_within_bound"),
+    )
