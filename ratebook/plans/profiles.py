@@ -15,16 +15,21 @@ LOCATION = ["facility_id", "mrf_location_name"]
 
 
 def location_summary(fact: DataFrame, keys: Sequence[str] = ("system_name", *LOCATION)) -> DataFrame:
-    """Rows, forms of price and distinct codes, payers, plans, payer-plan pairs per location."""
-    kinds = ("dollar", "percentage", "algorithm")
-    return fact.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("negotiated_rows"),
+    """Rows, forms of price and distinct codes, payers, plans, payer-plan pairs per location.
+
+    Rows are counted by payer, plan and code first, so that the distinct counts do not multiply the fact's rows."""
+    counts = {
+        "negotiated_rows": F.count(F.lit(1)),
+        **{f"rows_with_{k}": F.count_if(f"has_negotiated_{k}") for k in ("dollar", "percentage", "algorithm")},
+        "percentage_algorithm_rows": F.count_if(F.col("price_representation") == "percentage_algorithm"),
+    }
+    reduced = fact.groupBy(*keys, "payer", "plan", "code_1").agg(*[c.alias(n) for n, c in counts.items()])
+    return reduced.groupBy(*keys).agg(
+        *[F.sum(n).alias(n) for n in counts],
         F.count_distinct("payer").alias("unique_payers"),
         F.count_distinct("plan").alias("unique_plans"),
         F.count_distinct(F.struct("payer", "plan")).alias("unique_payer_plan_pairs"),
         F.count_distinct("code_1").alias("unique_primary_codes"),
-        *[F.count_if(f"has_negotiated_{k}").alias(f"rows_with_{k}") for k in kinds],
-        F.count_if(F.col("price_representation") == "percentage_algorithm").alias("percentage_algorithm_rows"),
     )
 
 
