@@ -179,6 +179,35 @@ def test_candidates_equal_all_pairs(spark, rows, floors):
     assert rows(strong, *cols, "candidate_rank") == rows(want.filter("combined_score >= 60"), *cols, "rank")
 
 
+@pytest.mark.parametrize("digits", [None, 0])
+def test_tiles_equal_the_join_of_trigrams(spark, rows, monkeypatch, digits):
+    """Texts that all share trigrams, copies among them: no pair is written, and the best are the same."""
+    random.seed(7)
+    names = ["", "MERCY", "MERCY WEST", "MERCY EAST", "ROSE 11", "ROSE 12"]
+
+    def side(n, prefix):
+        out = [(i * 7 % 101, random.choice(["hot", "hot", "hot", "b"]), random.choice(names), random.choice(names), f"{i % 13} MAIN ST") for i in range(n)]
+        return spark.createDataFrame(out, f"{prefix}id int, {prefix}b string, {prefix}_name string, {prefix}_other string, {prefix}_street string")
+
+    left, right = side(70, "l"), side(90, "r")
+    options = dict(
+        left_id="lid", right_id="rid", block=[("lb", "rb")], weights={"name": 0.7, "street": 0.3}, digits=digits,
+        fields={"name": (["l_name", "l_other"], ["r_name", "r_other"]), "street": (["l_street"], ["r_street"])},
+    )
+    want = rows(C.top_candidates(left, right, **options))
+    low = rows(C.top_candidates(left, right, min_score=60.0, **options))
+    assert len(want) == 210 and len(low) > 20
+    joined = []
+    pairs = C._pairs
+    monkeypatch.setattr(C, "_pairs", lambda *a: joined.append(1) or pairs(*a))
+    monkeypatch.setattr(C, "PAIRS_JOINED", 100)
+    monkeypatch.setattr(C, "TILE", 16)
+    monkeypatch.setattr(C, "CELLS", 200)
+    assert rows(C.top_candidates(left, right, **options)) == want
+    assert rows(C.top_candidates(left, right, min_score=60.0, **options)) == low
+    assert not joined
+
+
 def test_fallback_blocks(spark, rows):
     left = spark.createDataFrame([("a", "1", "X", "Mercy"), ("b", "9", "X", "Mercy"), ("c", None, "Q", "Rose")],
                                  "id string, zip string, city string, name string")
