@@ -35,8 +35,12 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("facility_id",), mode: str = "overwrite") -> None:
     """Directory per key.  The rebalance hint brings a key's rows together but lets adaptive execution split
-    a key that is too large for one task."""
-    df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
+    a key that is too large for one task.
+
+    Tasks move their files into place as they end (Hadoop's committer 2): with committer 1 the driver moves the files of
+    all keys one by one behind the last task.  Readers must wait for the end of the job."""
+    writer = df.hint("rebalance", *by).write.mode(mode).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(*by).parquet(path)
 
 
 def export_single(df: DataFrame, path: str, parts: int = 1, mode: str = "overwrite") -> int:
