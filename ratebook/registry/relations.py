@@ -30,19 +30,30 @@ _METRICS = {
 
 def wide_prices(spark, sf):
     """One row per location and code, payer and plan in the column names, as published wide files have it."""
-    aggregates = []
+    keys = ["facility_id", "code_1_type", "code_1"]
+    # aggregated as narrow rows, whose sort by key can spill, and spread over the columns one key at a time
+    cells = (
+        A.raw_prices(spark, sf)
+        .repartition(*keys)
+        .groupBy(*keys, "payer", "plan")
+        .agg(
+            F.max("negotiated_dollar").alias("negotiated_dollar"),
+            F.min("negotiated_percentage").alias("negotiated_percentage"),
+            F.nullif(F.count("negotiated_algorithm"), F.lit(0)).cast("string").alias("count"),
+        )
+    )
+    cell = F.struct("payer", "plan", "negotiated_dollar", "negotiated_percentage", "count")
+    rows = cells.groupBy(*keys).agg(F.collect_list(cell).alias("cells"))
+    columns = []
     for payer, plan in _PAIRS:
-        here = (F.col("payer") == payer) & (F.col("plan") == plan)
+        here = F.get(F.filter("cells", lambda c: (c["payer"] == payer) & (c["plan"] == plan)), F.lit(0))
         name = f"[{payer}]|[{plan}]"
-        aggregates += [
-            F.max(F.when(here, F.col("negotiated_dollar"))).alias(f"standard_charge|{name}|negotiated_dollar"),
-            F.min(F.when(here, F.col("negotiated_percentage"))).alias(f"standard_charge|{name}|negotiated_percentage"),
-            F.nullif(F.count(F.when(here, F.col("negotiated_algorithm"))), F.lit(0)).cast("string").alias(
-                f"count|{name}"
-            ),
+        columns += [
+            here["negotiated_dollar"].alias(f"standard_charge|{name}|negotiated_dollar"),
+            here["negotiated_percentage"].alias(f"standard_charge|{name}|negotiated_percentage"),
+            here["count"].alias(f"count|{name}"),
         ]
-    keys = ["facility_id", "code_1_type", "code_1"]
-    return A.raw_prices(spark, sf).groupBy(*keys).agg(*aggregates)
+    return rows.select(*keys, *columns)
 
 
 @register(

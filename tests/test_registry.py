@@ -46,3 +46,12 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_twin_has_its_query():
     assert set(registry.oracles()) <= set(registry.queries())
+
+
+def test_wide_prices_aggregate_narrow_rows(spark):
+    """A row per key of 75 cells is made behind the aggregation, so its maps hold narrow rows."""
+    from ratebook.registry.relations import wide_prices
+
+    wide = wide_prices(spark, SF)
+    assert len(wide.columns) == 78
+    assert wide._jdf.queryExecution().toString().count("partial_max(") <= 2
