@@ -259,3 +259,38 @@ def test_sinks(spark, tmp_path, rows):
     assert rows(S.pending_work(df, done, ["facility_id"])) == [("050760", 1), ("050760", 2)]
     status = S.batch_status(df.select("facility_id").distinct(), done, ["facility_id"])
     assert rows(status, "facility_id", "status", "error") == [("000001", "success", None), ("050760", "failed", "no rows")]
+
+
+def test_landed_files_have_their_first_and_last_lines(spark):
+    """Rows are computed once: what stands in front and behind goes with the first and last row of a file."""
+    from ratebook.registry.files import _land
+
+    passes = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        passes.add(1)
+        return x
+
+    body = spark.createDataFrame([("a", i, f"a{i}") for i in (3, 1, 2)] + [("b", 5, "b5")] + [("c", 1, None), ("c", 2, None)],
+                                 "file_key string, line_number long, line string").repartition(3)
+    head = F.array(F.concat(F.lit("head "), "file_key"), F.lit("names"))
+    path = _land(body.withColumn("line", counted("line")), "landed", head, F.when(F.col("file_key") != "b", F.lit("end")))
+    text = {r["file_key"]: r["value"] for r in spark.read.option("wholetext", True).text(path).collect()}
+    assert text == {
+        "a": "head a\nnames\na1\na2\na3\nend\n", "b": "head b\nnames\nb5\n", "c": "head c\nnames\nend\n",
+    }
+    assert passes.value == 6
+
+
+def test_partitioned_files_are_moved_by_their_tasks(spark, rows, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from ratebook.sources.sinks import write_partitioned
+
+    options, option = {}, DataFrameWriter.option
+    monkeypatch.setattr(DataFrameWriter, "option", lambda self, k, v: (options.update({k: v}), option(self, k, v))[1])
+    df = spark.createDataFrame([(str(i % 7), i) for i in range(50)], "facility_id string, v int")
+    write_partitioned(df, str(tmp_path / "t"))
+    assert options["mapreduce.fileoutputcommitter.algorithm.version"] == "2"
+    assert rows(spark.read.schema(df.schema).parquet(str(tmp_path / "t")), "facility_id", "v") == rows(df)
