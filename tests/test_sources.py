@@ -276,7 +276,7 @@ def test_landed_files_have_their_first_and_last_lines(spark):
                                  "file_key string, line_number long, line string").repartition(3)
     head = F.array(F.concat(F.lit("head "), "file_key"), F.lit("names"))
     path = _land(body.withColumn("line", counted("line")), "landed", head, F.when(F.col("file_key") != "b", F.lit("end")))
-    text = {r["file_key"]: r["value"] for r in spark.read.option("wholetext", True).text(path).collect()}
+    text = {r["file_key"]: r["value"] for r in spark.read.text(path, wholetext=True).collect()}
     assert text == {
         "a": "head a\nnames\na1\na2\na3\nend\n", "b": "head b\nnames\nb5\n", "c": "head c\nnames\nend\n",
     }
