@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +44,31 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("facility_i
     writer.partitionBy(*by).parquet(path)
 
 
+#: Column of the part a row goes to.
+_PART = "_export_part"
+#: Where this is set, a union of tables of one partition each has one partition.
+_UNION = "spark.sql.unionOutputPartitioning"
+
+
 def export_single(df: DataFrame, path: str, parts: int = 1, mode: str = "overwrite") -> int:
     """Write exactly ``parts`` part files for hand-off (one by default); returns their number.
 
-    Only the writing runs in so few tasks.  A large table needs as many parts as the receiver can take.
+    Only the last step runs in so few tasks, as a file is written by one task.  The rows are first written by all tasks, each
+    dealing its rows to the parts, so that the task of a part reads compressed columns and not shuffled rows.  A large table
+    needs as many parts as the receiver can take.
     """
-    df.repartition(parts).write.mode(mode).parquet(path)
+    dealt, spark = work_dir(df.sparkSession, "export-parts"), df.sparkSession
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))  # 0, 1, ... in each task
+    number = F.pmod(F.spark_partition_id() + in_task, F.lit(parts)).cast("int")
+    df.withColumn(_PART, number).write.option("compression", "zstd").partitionBy(_PART).parquet(dealt)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(_PART, T.IntegerType())])).parquet(dealt)
+    each = [rows.filter(F.col(_PART) == i).drop(_PART).coalesce(1) for i in range(parts)]
+    before = spark.conf.get(_UNION, None)
+    spark.conf.set(_UNION, "false")
+    try:
+        reduce(DataFrame.unionAll, each).write.mode(mode).parquet(path)
+    finally:
+        spark.conf.unset(_UNION) if before is None else spark.conf.set(_UNION, before)
     return parts
 
 

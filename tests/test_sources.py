@@ -236,6 +236,21 @@ def test_inventory_and_hashes(spark, tmp_path, rows):
     assert rows(out, "slug", "raw_exists", "complete") == [("a", True, True), ("z", False, False)]
 
 
+def test_parts_are_not_shuffled(spark, tmp_path, rows, monkeypatch):
+    """A part is written from columns that all tasks wrote before: exactly as many files, whatever the input's partitions."""
+    df = spark.range(1000).selectExpr("id", "id % 7 AS _v", "CAST(NULL AS STRING) AS s").union(spark.range(5).selectExpr("0", "0", "'x'"))
+    want = rows(df)
+    monkeypatch.setattr(type(df), "repartition", lambda *_: pytest.fail("rows are shuffled to the parts"))
+    before = spark.conf.get("spark.sql.unionOutputPartitioning", None)
+    for parts in (1, 3, 5):
+        path = tmp_path / str(parts)
+        assert S.export_single(df, str(path), parts) == parts
+        counts = [spark.read.parquet(str(f)).count() for f in path.glob("*.parquet")]
+        assert len(counts) == parts and max(counts) - min(counts) <= 20
+        assert rows(spark.read.parquet(str(path))) == want
+    assert spark.conf.get("spark.sql.unionOutputPartitioning", None) == before
+
+
 def test_sinks(spark, tmp_path, rows):
     df = spark.createDataFrame([("050760", 1), ("050760", 2), ("000001", 3)], "facility_id string, v int")
     S.write_partitioned(df, str(tmp_path / "p"))
