@@ -1,4 +1,5 @@
 import csv
+import gzip
 import hashlib
 import io
 import json
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ratebook import sources as S
 from ratebook.plans import normalize as N
 from ratebook.schema import LOCATION_CROSSWALK, NESTED_SERVICE, strings
+from ratebook.sources import digest
 
 
 def uri(path):
@@ -236,6 +238,62 @@ def test_inventory_and_hashes(spark, tmp_path, rows):
     assert rows(out, "slug", "raw_exists", "complete") == [("a", True, True), ("z", False, False)]
 
 
+def test_digest_is_taken_up_again():
+    data = bytes(range(256)) * 3
+    for size in (0, 1, 55, 56, 63, 64, 65, 119, 120, 128, 768):
+        for step in (1, 7, 63, 64, 65, 200):
+            state = digest.start()
+            for at in range(0, size, step):
+                state = digest.update(state, data[at : min(at + step, size)])
+            assert digest.n_bytes(state) == size
+            assert digest.finish(state) == hashlib.sha256(data[:size]).hexdigest()
+
+
+def test_files_that_do_not_fit_a_row_are_hashed(spark, tmp_path, rows):
+    """Files above the largest content of a row (here 40,000 bytes, by default 2 GB) are digested range by range."""
+    raw, n = tmp_path / "raw", random.Random(1)
+    (raw / "a" / "b").mkdir(parents=True)
+    lines = b"".join(b"%d,%s\r\n" % (i, b"x" * n.randrange(90)) for i in range(2000))
+    contents = {
+        "lines.csv": lines,
+        "mark.csv": b"\xef\xbb\xbf" + lines,
+        "two marks, no last break.csv": b"\xef\xbb\xbf\xef\xbb\xbf" + lines[:-2],
+        "no last break [1] {a,b} 5%41.csv": lines + b"\xc3",
+        "bytes.parquet": n.randbytes(150_000),
+        "breaks.txt": b"\n" * 100_000,
+        "one line.json": b'[{"a": "' + b'"}, {"a": "\xe2\x82\xac'.join([b"x" * 50] * 2000) + b'"}]',
+        "a/lines.csv": lines[::-1],
+        "a/b/lines.csv": lines,
+        "a/b/small.csv": b"small",
+        "small.csv.gz": gzip.compress(lines[:5000]),
+    }
+    for name, content in contents.items():
+        (raw / name).write_bytes(content)
+    settings = {
+        "spark.sql.files.maxPartitionBytes": "20000",
+        "spark.sql.files.openCostInBytes": "1000",  # ends of several files share a task
+        "spark.sql.sources.binaryFile.maxLength": "40000",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = rows(S.content_hash(spark, [str(raw), str(raw / "a")], whole_bytes=30_000))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(
+        ((f"file:{raw / name}", len(c), hashlib.sha256(c).hexdigest()) for name, c in contents.items()), key=repr
+    )
+
+
+def test_packed_files_are_hashed_as_they_are(spark, tmp_path, rows):
+    packed = gzip.compress(random.Random(2).randbytes(5000))
+    (tmp_path / "a.csv.gz").write_bytes(packed)
+    got = rows(S.content_hash(spark, str(tmp_path), whole_bytes=1000), "length", "sha256")
+    assert got == [(len(packed), hashlib.sha256(packed).hexdigest())]
+
+
 def test_parts_are_not_shuffled(spark, tmp_path, rows, monkeypatch):
     """A part is written from columns that all tasks wrote before: exactly as many files, whatever the input's partitions."""
     df = spark.range(1000).selectExpr("id", "id % 7 AS _v", "CAST(NULL AS STRING) AS s").union(spark.range(5).selectExpr("0", "0", "'x'"))
