@@ -208,6 +208,26 @@ def test_tiles_equal_the_join_of_trigrams(spark, rows, monkeypatch, digits):
     assert not joined
 
 
+@pytest.mark.parametrize("tiles", [False, True])
+def test_candidates_broadcast_nothing_that_grows(spark, monkeypatch, tiles):
+    """However small the files of a table look, only tables whose rows were counted are broadcast."""
+    left = spark.createDataFrame([(i, str(i % 3), f"Mercy {i}") for i in range(40)], "id int, zip string, name string")
+    right = spark.createDataFrame([(i, str(i % 3), f"Mercy West {i}") for i in range(40)], "rid int, zip string, name string")
+    monkeypatch.setattr("ratebook.operators.joins.FEW_ROWS", 0)
+    if tiles:
+        monkeypatch.setattr(C, "PAIRS_JOINED", 0)
+        monkeypatch.setattr(C, "PART_OF_ALL", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = C.blocked_candidates(left, right, left_id="id", right_id="rid", blocks=[("zip", "zip", "zip")],
+                                   fields={"name": (["name"], ["name"])}, weights={"name": 1.0}, n=1)
+        assert "SortMergeJoin" in plan(out) and "Broadcast" not in plan(out)
+        assert out.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_fallback_blocks(spark, rows):
     left = spark.createDataFrame([("a", "1", "X", "Mercy"), ("b", "9", "X", "Mercy"), ("c", None, "Q", "Rose")],
                                  "id string, zip string, city string, name string")
