@@ -98,6 +98,33 @@ def test_array_elements_and_metadata_of_nested_files(spark, tmp_path, small_bloc
     assert whole.select(F.explode("standard_charge_information")).count() == 80
 
 
+@pytest.mark.parametrize("size", [1, 60, 2**20])
+def test_chunks_of_nested_files(spark, tmp_path, monkeypatch, size):
+    """Text is written in the order of the scan, without a shuffle, and elements that go beyond a chunk are put together."""
+    services = [{"description": f'a "{i}" {{ \\', "charges": [{"n": k, "t": "}]"} for k in range(i % 4)]} for i in range(30)]
+    document = {"hospital_name": "H", "more": [{"x": [1]}], "standard_charge_information": services, "version": "2.0"}
+    (tmp_path / "a.json").write_text(json.dumps(document, indent=1) + "\n")
+    (tmp_path / "b.json").write_text(json.dumps({**document, "standard_charge_information": []}))
+    written, write = {}, S.nested_json.staged
+    monkeypatch.setattr(S.nested_json, "CHUNK", size)
+    monkeypatch.setattr(S.nested_json, "staged", lambda df, name: written.update({name: df._jdf.queryExecution().toString()}) or write(df, name))
+    found = S.nested_json.scan_array_elements(spark, str(tmp_path)).collect()
+    assert [json.loads(r.element) for r in sorted(found, key=lambda r: r.service_number)] == services
+    assert {r.mrf_version for r in S.nested_file_metadata(spark, str(tmp_path)).collect()} == {"2.0"}
+    assert "Exchange hashpartitioning" not in written["json-chunks"] + written["json-elements"]
+
+
+def test_lines_are_located_without_a_shuffle(spark, tmp_path, monkeypatch, small_blocks):
+    records = [["a", "b"], ["x", "y"], ["n", "t"], *[[str(i), "\n".join("z" * (i % 4 + 1))] for i in range(50)]]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows(records)
+    written, write = {}, S.preamble_csv.staged
+    monkeypatch.setattr(S.preamble_csv, "staged", lambda df, name: written.update({name: df._jdf.queryExecution().toString()}) or write(df, name))
+    found = S.scan_preamble_csv(spark, str(tmp_path)).collect()
+    assert [r.cells for r in sorted(found, key=lambda r: r.source_row_number)] == records[3:]
+    assert "Exchange" not in written["csv-lines"]
+
+
 def _price_file(path, header, rows, newline="\n"):
     with open(path, "w", newline="") as f:
         w = csv.writer(f, lineterminator=newline)
