@@ -208,6 +208,21 @@ def test_tiles_equal_the_join_of_trigrams(spark, rows, monkeypatch, digits):
     assert not joined
 
 
+def test_tiles_are_wide_and_get_texts(spark, monkeypatch):
+    """What tiles write does not grow with each 16 right rows, and what they read has no sets of trigrams."""
+    left = spark.createDataFrame([(i, f"Mercy {i}") for i in range(20)], "id int, name string")
+    right = spark.createDataFrame([(i, f"Mercy West {i}") for i in range(100)], "rid int, name string")
+    written, write = {}, C.staged
+    monkeypatch.setattr(C, "staged", lambda df, name: written.setdefault(name, df) and write(df, name))
+    monkeypatch.setattr(C, "PAIRS_JOINED", 0)
+    monkeypatch.setattr(C, "PART_OF_ALL", 0)
+    monkeypatch.setattr(C, "TILE", 16)
+    out = C.top_candidates(left, right, left_id="id", right_id="rid", fields={"name": (["name"], ["name"])}, weights={"name": 1.0}, n=3)
+    assert out.count() == 60
+    tiles = written["candidate-pairs"]
+    assert tiles.count() == 60 and "_rid" not in tiles.columns and "ids" in tiles.columns
+
+
 @pytest.mark.parametrize("tiles", [False, True])
 def test_candidates_broadcast_nothing_that_grows(spark, monkeypatch, tiles):
     """However small the files of a table look, only tables whose rows were counted are broadcast."""
